@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozgar.llm.mixing import OP10_SQL, op10_mix
+from sozgar.llm.packing import op2_pack
 from sozgar.llm.sharding import op7_interleave
-from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff, tiff_pages
+from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +16,13 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     stored = texts_to_tiff(rows, "text").drop("text")
     facts = stored.select("doc_id", "n_bytes", *media_facts(F.col("media")), "media")
-    digest = page_digest(tiff_pages(facts), ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    digest = page_digest(facts, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
     return digest.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 QUERIES = {
     "op1_tiff": op1_tiff,
+    "op2_pack": op2_pack,
     "op7_interleave": op7_interleave,
     "op10_mix": op10_mix,
 }

@@ -328,10 +328,9 @@ def texts_to_tiff(df: DataFrame, text: str, media: str = "media", width: int = 6
     return df.drop(media).mapInArrow(encode, schema)
 
 
-def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row per page of ``media`` with the other columns of its row; pages of a row follow each other."""
+def page_rows(media: str, others: list[str]):
+    """The batch function of ``tiff_pages``: page rows of each media value in turn, with the columns ``others``."""
     names = [n for n, _ in PAGE_FIELDS]
-    others = [c for c in df.columns if c not in names and c != media]
 
     def decode(batches):
         for batch in slices(batches, media):
@@ -339,15 +338,23 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
             at = pa.array([i for i, _ in found], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), *(pa.array([p.get(n) for _, p in found], t) for n, t in PAGE_FIELDS)], [*others, *names])
 
+    return decode
+
+
+def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
+    """One row per page of ``media`` with the other columns of its row; pages of a row follow each other."""
+    others = [c for c in df.columns if c not in [n for n, _ in PAGE_FIELDS] and c != media]
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in others)
-    return df.select(*others, media).mapInArrow(decode, f"{head}, {PAGE_DDL}" if head else PAGE_DDL)
+    return df.select(*others, media).mapInArrow(page_rows(media, others), f"{head}, {PAGE_DDL}" if head else PAGE_DDL)
 
 
-def page_digest(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Folds consecutive pages of a row back into the payload: ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``feature``.
+def page_digest(df: DataFrame, keys: list[str], media: str = "media") -> DataFrame:
+    """Walks the pages of each media value and folds them back into the payload: ``payload_bytes``, ``payload_sha256``, ``tail_crc32``, ``feature``.
 
-    Reads ``tiff_pages`` rows as they stream by (page 0 opens a row), so nothing is shuffled.
+    The page rows of ``tiff_pages`` are folded as they stream by in the same worker (page 0 opens a row), so
+    pixels are neither shuffled nor sent back to the JVM.
     """
+    decode = page_rows(media, keys)
 
     def fold(batches):
         held = None
@@ -361,9 +368,9 @@ def page_digest(pages: DataFrame, keys: list[str]) -> DataFrame:
             return [*held["keys"], n, payload.hexdigest(), zlib.crc32(held["tail"]), feature, held["error"]]
 
         def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [f.name for f in schema])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-        for batch in batches:
+        for batch in decode(batches):
             done = []
             kinds = [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
             rows = batch.to_pylist()
@@ -387,10 +394,9 @@ def page_digest(pages: DataFrame, keys: list[str]) -> DataFrame:
             yield table([close()])
 
     added = ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "feature string", "error string"]
-    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keys]
-    template = pages.sparkSession.createDataFrame([], ", ".join(head + added)).schema
-    schema = template
-    return pages.mapInArrow(fold, template)
+    head = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    names = [*keys, *(a.split()[0] for a in added)]
+    return df.select(*keys, media).mapInArrow(fold, ", ".join(head + added))
 
 
 def media_facts(media: Column) -> list[Column]:
