@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sozgar.llm.html import op4_extract
 from sozgar.llm.mixing import OP10_SQL, op10_mix
+from sozgar.llm.nearest import OP8_SQL, op8_nearest
 from sozgar.llm.packing import op2_pack
 from sozgar.llm.sharding import op7_interleave
 from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff
@@ -23,9 +25,12 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_tiff": op1_tiff,
     "op2_pack": op2_pack,
+    "op4_extract": op4_extract,
     "op7_interleave": op7_interleave,
+    "op8_nearest": op8_nearest,
     "op10_mix": op10_mix,
 }
 ORACLES = {
+    "op8_nearest": OP8_SQL,
     "op10_mix": OP10_SQL,
 }
