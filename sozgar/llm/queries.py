@@ -9,8 +9,10 @@ from sozgar.llm.html import op4_extract
 from sozgar.llm.mixing import OP10_SQL, op10_mix
 from sozgar.llm.nearest import OP8_SQL, op8_nearest
 from sozgar.llm.packing import op2_pack
+from sozgar.llm.quality import op3_quality
 from sozgar.llm.sharding import op7_interleave
 from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff
+from sozgar.llm.toxicity import op5_toxicity
 
 
 def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,9 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_tiff": op1_tiff,
     "op2_pack": op2_pack,
+    "op3_quality": op3_quality,
     "op4_extract": op4_extract,
+    "op5_toxicity": op5_toxicity,
     "op7_interleave": op7_interleave,
     "op8_nearest": op8_nearest,
     "op10_mix": op10_mix,

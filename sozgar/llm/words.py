@@ -52,12 +52,20 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+class RunHasher:
+    """64-bit hashes of runs of bytes; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _powers(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[values] * up[: len(values)], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes; equal runs have equal hashes wherever they stand."""
-    up, down = _powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[values] * up[: len(values)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return RunHasher(values)(starts, ends)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
