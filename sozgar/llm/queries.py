@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sozgar.llm.html import op4_extract
 from sozgar.llm.mixing import OP10_SQL, op10_mix
+from sozgar.llm.neardup import op9_neardup
 from sozgar.llm.nearest import OP8_SQL, op8_nearest
 from sozgar.llm.packing import op2_pack
 from sozgar.llm.quality import op3_quality
@@ -32,6 +33,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_interleave": op7_interleave,
     "op8_nearest": op8_nearest,
+    "op9_neardup": op9_neardup,
     "op10_mix": op10_mix,
 }
 ORACLES = {
