@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sozgar.llm.common import held_out
 
 #: Labelled rows from which models are learned, at most; those with the smallest hashes of their id.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 4_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:

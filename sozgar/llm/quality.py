@@ -65,6 +65,23 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return rows, size, first
 
 
+def chunked_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, worked out chunk by chunk."""
+    parts, some, held, at = [], [], 0, 0
+    for t in [*texts, None]:
+        if some and (t is None or held >= CHUNK):
+            rows, size, first = line_features(some)
+            parts.append((rows.astype(np.float32), size, first[:-1] + at))
+            at += len(rows)
+            some, held = [], 0
+        if t is not None:
+            some.append(t)
+            held += len(t)
+    if not parts:
+        return np.zeros((0, WIDTH)), np.zeros(0), np.zeros(1, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.append(np.concatenate([p[2] for p in parts]), at)
+
+
 def observations(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A line's features, those of the line before and of the line after (zero beyond the text), and whether these exist."""
     n = len(rows)
@@ -150,7 +167,7 @@ def good_share(marginal: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.
 
 class QualityModel:
     def fit(self, texts: list[bytes], good: np.ndarray) -> QualityModel:
-        rows, size, first = line_features(texts)
+        rows, size, first = chunked_features(texts)
         x, y = observations(rows, first), np.repeat(good, np.diff(first))
         self.field = LineField().fit(x, y, first, steps=120)
         if len(x):
