@@ -11,6 +11,7 @@ from sozgar.llm.neardup import op9_neardup
 from sozgar.llm.nearest import OP8_SQL, op8_nearest
 from sozgar.llm.packing import op2_pack
 from sozgar.llm.quality import op3_quality
+from sozgar.llm.repeats import op6_repeats
 from sozgar.llm.sharding import op7_interleave
 from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff
 from sozgar.llm.toxicity import op5_toxicity
@@ -31,6 +32,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_extract": op4_extract,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_interleave": op7_interleave,
     "op8_nearest": op8_nearest,
     "op9_neardup": op9_neardup,
