@@ -35,7 +35,7 @@ from sozgar.llm.hyperminhash import REGISTERS, band_keys, estimate, registers
 from sozgar.llm.shingles import SHINGLE, shingle_sets
 
 LINK, NEAR, FAMILY = 85, 55, 40
-ROUNDS = 3
+ROUNDS = 8
 #: Members and bytes of text in a block of a family.
 BLOCK_ROWS, BLOCK_BYTES = 192, 8 << 20
 
@@ -194,7 +194,7 @@ def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHING
         left = pairs.join(done, ["a", "b"], "left_anti").select("key", F.col("b").alias("v"))
         open_ = scratch.write(left, f"open-{k}")
         scratch.drop("buckets" if k == 0 else f"open-{k - 1}")
-        if open_.limit(1).count() == 0:
+        if open_.groupBy("key").count().where("count > 1").limit(1).count() == 0:
             break
     edges = known[0]
     for more in known[1:]:
