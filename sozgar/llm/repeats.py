@@ -247,11 +247,14 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """All rows and columns with ``spans`` (removed byte ranges, maximal) and ``kept`` (the remaining bytes) added."""
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, as_text: bool = False) -> DataFrame:
+    """All rows and columns with ``spans`` (removed byte ranges, maximal) and ``kept`` (the remaining bytes) added.
+
+    With ``as_text`` there is ``kept_text`` instead: a cut inside a character leaves a part of it, which is dropped.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
     marks = repeat_marks(keyed(docs, doc_id, text), scratch, window, group)
-    others = [c for c in docs.columns if c not in ("spans", "kept")]
+    others = [c for c in docs.columns if c not in ("spans", "kept", "kept_text")]
     tagged = docs.select(*others, F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 15)).cast("short").alias("_t"))
     joined = tagged.join(marks.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans")), ["_d", "_t"], "left").select(*others, "_spans")
 
@@ -267,10 +270,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 parts.append(raw[at:])
                 spans.append([{"s": a, "e": b} for a, b in cut])
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(kept, pa.binary())], [*others, "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*others, "spans", "kept_text" if as_text else "kept"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return joined.mapInArrow(run, f"{head}, spans array<struct<s:int,e:int>>, kept binary")
+    return joined.mapInArrow(run, f"{head}, spans array<struct<s:int,e:int>>, {'kept_text string' if as_text else 'kept binary'}")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
