@@ -2,11 +2,11 @@
 
 1. Every whole text becomes its set of word shingles, a hash of the set and a sketch. Documents with
    equal sets form a class at once; only the smallest id of each goes on.
-2. Band keys (four compressed registers) put sets into buckets. In each bucket the members are compared
+2. Band keys (six compressed registers) put sets into buckets. In each bucket the members are compared
    with its smallest member: sketches give a collision-corrected estimate, and pairs that may matter are
    measured exactly on full sets. Jaccard distance is a metric, so a member within ``NEAR`` of the pivot
    has all its links among members within ``FAMILY`` of it: it is done with this bucket. The others
-   repeat this with a new pivot; after ``ROUNDS`` rounds the few left are compared with each other.
+   repeat this with a new pivot; what ``ROUNDS`` rounds leave in a bucket is compared in blocks as in 3.
 3. Sets connected by similarities of ``FAMILY`` or more form families. A family whose members all link
    to one pivot is settled. In the others every pair is measured exactly, block against block, and each
    pair of blocks returns a spanning forest of its links, never the pairs themselves.
@@ -35,7 +35,7 @@ from sozgar.llm.hyperminhash import REGISTERS, band_keys, estimate, registers
 from sozgar.llm.shingles import SHINGLE, shingle_sets
 
 LINK, NEAR, FAMILY = 85, 55, 40
-ROUNDS = 8
+ROUNDS = 2
 #: Members and bytes of text in a block of a family.
 BLOCK_ROWS, BLOCK_BYTES = 192, 8 << 20
 
@@ -179,23 +179,17 @@ def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHING
     involved = open_.select("v").distinct()
     texts = scratch.write(docs.join(involved, "v", "left_semi").dropDuplicates(["v"]), "texts")
     known = []
-    for k in range(ROUNDS + 1):
+    for k in range(ROUNDS):
         pivots = open_.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-        if k < ROUNDS:
-            pairs = open_.join(pivots, "key").where("v <> a").select("key", "a", F.col("v").alias("b"))
-        else:
-            pairs = open_.select("key", F.col("v").alias("a")).join(open_.select("key", F.col("v").alias("b")), "key").where("a < b")
+        pairs = open_.join(pivots, "key").where("v <> a").select("key", "a", F.col("v").alias("b"))
         distinct = scratch.write(pairs.select("a", "b").distinct(), f"pairs-{k}")
         known.append(scratch.write(measured(estimated(distinct, rows, FAMILY), texts, width).where(F.col("percent") >= FAMILY), f"known-{k}"))
-        scratch.drop(f"pairs-{k}")
-        if k == ROUNDS:
-            break
         done = known[-1].where(F.col("percent") >= NEAR).select("a", "b")
         left = pairs.join(done, ["a", "b"], "left_anti").select("key", F.col("b").alias("v"))
-        open_ = scratch.write(left, f"open-{k}")
-        scratch.drop("buckets" if k == 0 else f"open-{k - 1}")
-        if open_.groupBy("key").count().where("count > 1").limit(1).count() == 0:
-            break
+        crowded = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        open_ = scratch.write(left.join(crowded, "key"), f"open-{k}")
+        scratch.drop(f"pairs-{k}", "buckets" if k == 0 else f"open-{k - 1}")
+    rest = family_links(open_.select("v", F.col("key").alias("family")), texts, width, link)
     edges = known[0]
     for more in known[1:]:
         edges = edges.unionByName(more)
@@ -206,7 +200,7 @@ def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHING
     most = families.join(stars, "v").groupBy("family").agg(F.max("m").alias("m"))
     loose = sizes.join(most, "family", "left").where((F.coalesce("m", F.lit(0)) < F.col("n") - 1) & (F.col("n") > 2)).select("family")
     members = scratch.write(families.join(loose, "family", "left_semi"), "loose")
-    return direct.unionByName(family_links(members, texts, width, link))
+    return direct.unionByName(family_links(members, texts, width, link)).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, link: int = LINK) -> DataFrame:
