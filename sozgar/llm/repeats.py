@@ -6,8 +6,10 @@
 3. Different entries of one anchor may still share windows. Windows that no other entry of the anchor
    has are trimmed off; the rest is sorted by a suffix array (linear grouping construction), equal windows
    are neighbours there, and all but the earliest of each are repeats.
-4. Anchors with more than ``GROUP`` different entries are not brought into one task: their windows are
-   grouped one by one, by anchor, place in the anchor's range and content, which gives the same answer.
+4. Anchors with more than ``GROUP`` different entries are not brought into one task. Their windows are cut
+   into cells of ``CELL`` neighbouring places; windows of a cell can be equal only if the bytes that all of
+   them share are, so cells with equal shared bytes go through steps 2 and 3 on their own. Where even these
+   are too many, windows are grouped one by one by anchor, place and content. All ways give one answer.
 
 "Earlier" is a smaller id (null ids last; rows that share an id are told apart by a hash of their text), then
 an earlier start. Defined results: null or empty text has no bytes and nothing to remove; texts shorter
@@ -33,6 +35,8 @@ from sozgar.llm.words import CHUNK, RunHasher, lay
 WINDOW = 100
 #: Different entries of an anchor that one task compares.
 GROUP = 1024
+#: Windows of a cell into which the entries of crowded anchors are cut.
+CELL = 8
 #: Bytes that go into one suffix array, unless a single anchor has more.
 TOGETHER = 1 << 16
 _GROUP_ODD, _PLACE_ODD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -190,6 +194,35 @@ def shared_windows(entries: DataFrame, window: int) -> DataFrame:
     return entries.select("h", "o", "d", "t", "s", "x").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, t short, s int, e int")
 
 
+def cells(entries: DataFrame, window: int) -> DataFrame:
+    """(h, c, o, d, t, s, x): the entries cut into cells of neighbouring windows; ``h`` also covers the bytes that all windows of the cell share."""
+
+    def run(batches):
+        for batch in slices(batches, "x", CHUNK):
+            x = batch.column("x").to_pylist()
+            buffer, starts = lay(x)
+            h, o, s = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "o", "s"))
+            n = np.diff(starts) - window
+            low = -o // CELL
+            entry, step = spread((n - 1 - o) // CELL - low + 1)
+            cell = low[entry] + step
+            place = cell * CELL + o[entry]
+            first, last = np.maximum(place, 0), np.minimum(place + CELL, n[entry])
+            base = starts[entry]
+            hasher = RunHasher(buffer)
+            shared = hasher(base + place + CELL - 1, base + place + window)
+            group = mix64(shared + h[entry].view(np.uint64) * _GROUP_ODD + cell.astype(np.uint64) * _PLACE_ODD)
+            content = mix64(hasher(base + first, base + last + window - 1) + (o[entry] - first).astype(np.uint64) * _PLACE_ODD)
+            raw, at = buffer.tobytes(), pa.array(entry)
+            cut = [raw[a:b] for a, b in zip((base + first).tolist(), (base + last + window - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group.view(np.int64)), pa.array(content.view(np.int64)), pa.array((o[entry] - first).astype(np.int32)), batch.column("d").take(at), batch.column("t").take(at), pa.array((s[entry] + first).astype(np.int32)), pa.array(cut, pa.binary())],
+                ["h", "c", "o", "d", "t", "s", "x"],
+            )
+
+    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "h long, c long, o int, d long, t short, s int, x binary")
+
+
 def single_windows(entries: DataFrame, window: int) -> DataFrame:
     """(w, d, t, s): every window of the entries, ``w`` a 128-bit hash of anchor, place and content."""
 
@@ -227,13 +260,22 @@ def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group:
     scratch.drop("wanted")
     marks = marks.unionByName(shared_windows(texts.where("not many"), window))
     if texts.where("many").limit(1).count():
-        single = scratch.write(single_windows(texts.where("many"), window), "single")
-        best = single.groupBy("w").agg(earliest, F.count(F.lit(1)).alias("k")).where("k > 1").select("w", "first")
-        best = scratch.write(best, "best")
-        later = single.join(best, "w").where(F.struct("d", "t", "s") != F.col("first"))
-        marks = marks.unionByName(later.select("d", "t", "s", (F.col("s") + window).alias("e")))
+        small = scratch.write(cells(texts.where("many"), window), "cells")
+        parts = scratch.write(small.groupBy("h", "c").agg(earliest, F.count(F.lit(1)).alias("k"), F.first("o").alias("o"), F.first("x").alias("x")), "parts")
+        again = parts.where("k > 1").select("h", "c", "first")
+        later = small.join(again, ["h", "c"]).where(F.struct("d", "t", "s") != F.col("first"))
+        marks = marks.unionByName(later.select("d", "t", "s", (F.col("s") + F.length("x")).alias("e")))
+        crowd = scratch.write(parts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", (F.col("m") > group).alias("many")), "crowd-2")
+        parts = scratch.write(parts.join(crowd, "h").select("h", "many", "o", "first.d", "first.t", "first.s", "x"), "contents-2")
+        marks = marks.unionByName(shared_windows(parts.where("not many"), window))
+        if parts.where("many").limit(1).count():
+            single = scratch.write(single_windows(parts.where("many"), window), "single")
+            best = single.groupBy("w").agg(earliest, F.count(F.lit(1)).alias("k")).where("k > 1").select("w", "first")
+            best = scratch.write(best, "best")
+            later = single.join(best, "w").where(F.struct("d", "t", "s") != F.col("first"))
+            marks = marks.unionByName(later.select("d", "t", "s", (F.col("s") + window).alias("e")))
     found = scratch.write(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "marks")
-    scratch.drop("copies", "contents", "single", "best")
+    scratch.drop("copies", "contents", "cells", "parts", "crowd-2", "contents-2", "single", "best")
     return found
 
 
