@@ -30,20 +30,29 @@ def client_words(text: Column | str, curly: bool = False) -> Column:
     return F.regexp_extract_all(col(text), F.lit(CLIENT_WORD_CURLY if curly else CLIENT_WORD), 0)
 
 
-def word_spans(text: Column | str) -> Column:
+def word_spans(text: Column | str, block: int = 64) -> Column:
     """array<struct<word, start, end>>: code-point offsets, end exclusive.
 
-    The text is cut into words and what lies between without loss; one pass adds up the lengths.
+    The text is cut into words and what lies between without loss. Lengths are added up in blocks of pieces and
+    over the blocks, as an array that grows piece by piece would be copied each time.
     """
-    pieces = F.regexp_extract_all(col(text), F.lit(f"{WORD}|[^a-zA-Z]+"), 0)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int,end:int>>").alias("spans"))
+    spans = "array<struct<word:string,start:int,end:int>>"
+
+    def inside(pieces: Column, start: Column) -> Column:
+        def step(state: Column, piece: Column) -> Column:
+            end = state["at"] + F.length(piece)
+            span = F.struct(piece.alias("word"), state["at"].alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(piece.rlike("^[a-zA-Z]"), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        span = F.struct(piece.alias("word"), state["at"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(piece.rlike("^[a-zA-Z]"), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.aggregate(pieces, F.struct(start.alias("at"), F.array().cast(spans).alias("spans")), step, lambda s: s["spans"])
 
-    return F.aggregate(pieces, start, step, lambda s: s["spans"])
+    pieces = F.regexp_extract_all(col(text), F.lit(f"{WORD}|[^a-zA-Z]+"), 0)
+    cut = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(p) / block).cast("int") - 1, F.lit(0))), lambda k: F.slice(p, k * block + 1, block))
+    blocks = F.transform(F.array(pieces), cut)[0]
+    sizes = lambda b: F.transform(b, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x)))
+    begins = lambda b: F.aggregate(sizes(b), F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    bound = F.transform(F.array(blocks), lambda b: F.struct(b.alias("b"), begins(b).alias("s")))[0]
+    return F.transform(F.array(bound), lambda x: F.flatten(F.transform(F.arrays_zip(x["b"].alias("b"), F.slice(x["s"], 1, F.size(x["b"])).alias("s")), lambda y: inside(y["b"], y["s"]))))[0]
 
 
 def corpus_words(text: Column | str, least: int = 2) -> Column:

@@ -48,7 +48,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checker(spark: SparkSession, sf_dir: str) -> SpellChecker:
-    return SpellChecker(entries(spark, sf_dir))
+    return SpellChecker(entries(spark, sf_dir), persist=True)
 
 
 def token_rows(df: DataFrame) -> DataFrame:
