@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sozgar.functions.alphabet import ENGLISH_STOP, FUNCTION_WORDS, INTERFACE_WORDS, MENU_WORDS, TELLING_SUFFIXES
 from sozgar.functions.tokens import SPACE, blank_words, client_words
-from sozgar.functions.translit import CYRILLIC, col
+from sozgar.functions.translit import CYRILLIC, col, let
 
 _WORD = "[A-Za-z0-9_]"
 
@@ -23,14 +23,22 @@ def count_of(text: Column, pattern: str) -> Column:
 
 def section_sample(words: Column, count: int) -> Column:
     """``count`` words at equal strides from the first on; all if there are no more."""
-    stride = F.floor(F.size(words) / count).cast("int")
-    return F.when(F.size(words) <= count, words).otherwise(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.element_at(words, (i * stride + 1).cast("int"))))
+
+    def strided(w: Column) -> Column:
+        stride = F.floor(F.size(w) / count).cast("int")
+        return F.when(F.size(w) <= count, w).otherwise(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.element_at(w, (i * stride + 1).cast("int"))))
+
+    return let(words, strided)
 
 
 def stratified_sample(words: Column, sections: int, per_section: int) -> Column:
     """Equal slices of the words, sampled one by one."""
-    size = F.greatest(F.ceil(F.size(words) / sections).cast("int"), F.lit(1))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sections - 1)), lambda s: section_sample(F.slice(words, s * size + 1, size), per_section)))
+
+    def cut(w: Column) -> Column:
+        size = F.greatest(F.ceil(F.size(w) / sections).cast("int"), F.lit(1))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sections - 1)), lambda s: section_sample(F.slice(w, s * size + 1, size), per_section)))
+
+    return let(words, cut)
 
 
 def likely_uzbek(text: Column | str, document: bool = False) -> Column:
@@ -39,27 +47,35 @@ def likely_uzbek(text: Column | str, document: bool = False) -> Column:
     Samples are taken at fixed strides, so the answer is the same each time.
     """
     t = col(text)
-    words = client_words(t, document)
-    n = F.size(words)
-    checked = F.when(n <= (80 if document else 40), words).when(n <= 300, stratified_sample(words, 3, 10)).otherwise(stratified_sample(words, 5, 12))
-    low = F.lower(F.array_join(checked, " "))
     marks = "['‘’ʻʼʹ`´]" if document else "['ʻʼʹ`´]"
-    apostrophe = (F.lower(t) if document else low).rlike(f"[og]{marks}")
-    hits = count_of(low, whole_words(FUNCTION_WORDS if document else [*FUNCTION_WORDS, "bo'ldi"]))
-    function = hits >= 1 if document else (hits >= 2) | ((hits >= 1) & (n >= 3))
-    suffix = low.rlike(f"{_WORD}{{3,}}(?:{'|'.join(TELLING_SUFFIXES)})(?!{_WORD})")
-    plain = F.regexp_extract_all(low, F.lit(f"(?<!{_WORD})([a-z]{{2,}})(?!{_WORD})"), 1)
-    dense = lambda k: (F.size(plain) >= 4) & (k / F.greatest(F.size(plain), F.lit(1)) > 0.15)
-    found = function | suffix | dense(F.size(F.filter(plain, lambda w: w.contains("q")))) | dense(count_of(low, "sh|ch"))
-    if document:
-        found = found | ((F.length(t) > 100) & (count_of(t, "(?i:" + whole_words(ENGLISH_STOP) + ")") == 0))
+    functional = whole_words(FUNCTION_WORDS if document else [*FUNCTION_WORDS, "bo'ldi"])
+
+    def sampled(w: Column) -> Column:
+        n = F.size(w)
+        checked = F.when(n <= (80 if document else 40), w).when(n <= 300, stratified_sample(w, 3, 10)).otherwise(stratified_sample(w, 5, 12))
+        return F.struct(n.alias("n"), F.lower(F.array_join(checked, " ")).alias("low"))
+
+    def dense(x: Column) -> Column:
+        plain = F.regexp_extract_all(x["low"], F.lit(f"(?<!{_WORD})([a-z]{{2,}})(?!{_WORD})"), 1)
+        often = lambda p, k: (F.size(p) >= 4) & (k / F.greatest(F.size(p), F.lit(1)) > 0.15)
+        return let(plain, lambda p: often(p, F.size(F.filter(p, lambda w: w.contains("q")))) | often(p, count_of(x["low"], "sh|ch")))
+
+    def judged(x: Column) -> Column:
+        hits = count_of(x["low"], functional)
+        function = hits >= 1 if document else (hits >= 2) | ((hits >= 1) & (x["n"] >= 3))
+        suffix = x["low"].rlike(f"{_WORD}{{3,}}(?:{'|'.join(TELLING_SUFFIXES)})(?!{_WORD})")
+        found = function | suffix | dense(x)
+        if document:
+            found = found | ((F.length(t) > 100) & (count_of(t, "(?i:" + whole_words(ENGLISH_STOP) + ")") == 0))
+        apostrophe = F.lower(t).rlike(f"[og]{marks}") if document else x["low"].rlike(f"[og]{marks}") & (x["n"] > 0)
+        return F.when(apostrophe, True).when(x["n"] == 0, False).otherwise(found)
+
+    words = client_words(t, document)
     return (
         F.when(t.isNull() | (t == ""), False)
         .when(F.length(F.regexp_replace(t, f"[{SPACE}]", "")) < 15, True)
         .when(t.rlike(f"[{CYRILLIC}]"), False)
-        .when(apostrophe & (F.lit(True) if document else n > 0), True)
-        .when(n == 0, False)
-        .otherwise(found)
+        .otherwise(let(let(words, sampled), judged))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with a value that is computed once; inside lambdas repeated expressions are not shared otherwise."""
+    return F.transform(F.array(value), body)[0]
+
+
 def transliterate(text: Column | str) -> Column:
     """Cyrillic to Latin. Е at the start of a word is Ye; other characters stay."""
     out = col(text)
