@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -14,7 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut to about so many bytes of text before numpy works on them.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Rows of an Arrow batch, where the session has not chosen otherwise; long texts make batches large.
+BATCH_ROWS = 1000
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch from Spark's default, which lets a batch of texts grow to hundreds of megabytes."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = worker_cache("libc", lambda: ctypes.CDLL(None))
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -76,6 +95,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def held_out(doc_id: Column) -> Column:

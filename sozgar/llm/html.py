@@ -19,7 +19,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sozgar.llm.common import slices
+from sozgar.llm.common import bound_batches, slices
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -275,6 +275,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, column: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) in place of the html column."""
+    bound_batches(df.sparkSession)
     others = [c for c in df.columns if c not in (column, "text", "n_chars")]
 
     def run(batches):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sozgar.llm.common import slices, text_bytes
+from sozgar.llm.common import bound_batches, slices, text_bytes
 
 # Fixed values of the TIFF 6.0 format: tags, compression schemes, field sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 259, 262, 273
@@ -314,6 +314,8 @@ def pages_of(data: bytes | None) -> Iterator[dict]:
 def texts_to_tiff(df: DataFrame, text: str, media: str = "media", width: int = 64, rows_per_page: int = 4096, scheme: str = "deflate", predictor: int = 2, tile: int = 0) -> DataFrame:
     """Adds ``media``: the UTF-8 bytes of ``text`` (null: empty), with zero bytes up to a positive multiple of ``width``, as 8-bit samples."""
 
+    bound_batches(df.sparkSession)
+
     def encode(batches):
         for batch in slices(batches, text):
             files = []

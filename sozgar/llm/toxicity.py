@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sozgar.llm.common import held_out, slices, text_bytes
+from sozgar.llm.common import bound_batches, held_out, slices, text_bytes
 from sozgar.llm.learning import BoostedTrees, Isotonic, folds, labelled_sample, sigmoid
 from sozgar.llm.words import BLANK, CHUNK, LETTER, LOWER, RunHasher, hash_runs, hash_word, lay, runs
 
@@ -231,6 +231,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 def score(df: DataFrame, model, text: str = "text", output: str = "score") -> DataFrame:
     """Adds the model's score of every whole text."""
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     others = [c for c in df.columns if c != output]
 

@@ -12,7 +12,7 @@ import numpy as np
 from sozgar.llm.common import mix64, worker_cache
 
 #: Texts are worked on in chunks of about so many bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
