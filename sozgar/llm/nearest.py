@@ -41,14 +41,13 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def thin(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``keep`` rows, those with the smallest ids, of each exactly equal vector: no other copy can be among a query's nearest."""
-    order = np.argsort(ids, kind="stable")
-    seen: dict[bytes, int] = {}
+    """At most ``keep`` rows, those with the smallest ids, of each exactly equal vector, an id once: no other copy can be among a query's nearest."""
+    seen: dict[bytes, tuple[int, int]] = {}
     rows = []
-    for i in order.tolist():
-        key = vectors[i].tobytes()
-        seen[key] = n = seen.get(key, 0) + 1
-        if n <= keep:
+    for i in np.argsort(ids, kind="stable").tolist():
+        n, last = seen.get(key := vectors[i].tobytes(), (0, -1))
+        if n < keep and (n == 0 or last != ids[i]):
+            seen[key] = n + 1, int(ids[i])
             rows.append(i)
     return ids[rows], vectors[rows]
 

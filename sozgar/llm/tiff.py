@@ -115,12 +115,12 @@ def lzw_encode(data: bytes) -> bytes:
             put(LZW_CLEAR)
             table = {bytes([c]): c for c in range(256)}
             size, seen, width = 258, b"", 9
-        elif size + 1 > (1 << width) - 1 and width < 12:
+        elif size > (1 << width) - 1 and width < 12:
             width += 1
     if seen:
         put(table[seen])
         size += 1
-        if size + 1 > (1 << width) - 1 and width < 12:
+        if size > (1 << width) - 1 and width < 12:
             width += 1
     put(LZW_END)
     if held:
