@@ -30,6 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class."""
+    docs = docs.select(*COLUMNS)
     found = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     # Only ids that must go are joined; rows with a null id match none of them and stay.
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
@@ -37,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out; a cut inside a character drops what is left of it. Documents of which nothing stays go."""
-    found = without_repeats(docs, as_text=True)
+    found = without_repeats(docs.select(*COLUMNS), as_text=True)
     changed = F.size("spans") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -46,7 +47,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mixture takes it; what it does not take goes."""
-    docs = docs.withColumn("_row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
     rows = Scratch(spark, "pipeline-mix").write(measured(docs.select("_row", "doc_id", "source", "text")).drop("text"), "sizes")
     taken = mix_rows(rows, "doc_id", "size", "weight", "source").groupBy("_row").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     return docs.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
