@@ -21,22 +21,24 @@ def write_dictionary(entries: DataFrame, path: str) -> None:
 
 def export_dictionary(entries: DataFrame, path: str, indent: int = 2) -> None:
     """One JSON object, most frequent first, characters unescaped. An export for small tools: its lines pass through one writer task, not the driver."""
-    pad = " " * indent
-    lines = entries.where("word IS NOT NULL").orderBy(F.col("freq").desc(), "word")
+    lines = entries.where("word IS NOT NULL").orderBy(F.col("freq").desc(), "word").coalesce(1)
     name = F.expr("substring(to_json(array(word)), 2, length(to_json(array(word))) - 2)")
-    body = lines.select(F.concat(F.lit(pad), name, F.lit(": "), F.col("freq").cast("string")).alias("value"))
+    lead = F.when(F.monotonically_increasing_id() == 0, F.lit("{\n")).otherwise(F.lit(",\n"))
+    body = lines.select(F.concat(lead, F.lit(" " * indent), name, F.lit(": "), F.col("freq").cast("string")).alias("value"))
     spark = entries.sparkSession
     temporary = f"{path}.parts-{uuid.uuid4().hex}"
-    body.coalesce(1).write.option("lineSep", ",\n").text(temporary)
+    body.write.option("lineSep", " ").text(temporary)
     files, place, make = _files(spark, path)
-    part = next(s.getPath() for s in files.listStatus(make(temporary)) if s.getPath().getName().startswith("part-"))
-    source, out = files.open(part), files.create(place, True)
-    size = max(files.getFileStatus(part).getLen() - 2, 0)  # without the last separator
-    out.write(bytearray(b"{\n"))
-    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, size, False)
+    parts = [s.getPath() for s in files.listStatus(make(temporary)) if s.getPath().getName().startswith("part-")]
+    out = files.create(place, True)
+    if not any(files.getFileStatus(p).getLen() for p in parts):
+        out.write(bytearray(b"{"))
+    for part in parts:
+        source = files.open(part)
+        spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+        source.close()
     out.write(bytearray(b"\n}\n"))
     out.close()
-    source.close()
     files.delete(make(temporary), True)
 
 
