@@ -5,8 +5,9 @@ weight; no target passes ``cap`` times its source's size, and what is left over
 weight (water filling, solved in closed form over the sources sorted by the level at which they cap).
 
 Sampling: each document has the exponential key -ln(u) / quality weight; documents are taken in key
-order. A source's target is met by complete epochs first; the rest is the prefix in key order whose
-words come nearest to the budget (a document is taken if more than half of it fits).
+order. A source's target is met by complete epochs first; the rest is the longest prefix in key order
+that fits in the budget. What the prefix leaves is offered to the later documents that fit in it, twice,
+by the same rule, so no target is passed.
 
 Defined results: null or empty text has size 0 and takes nothing; a null source is a source; repeated
 rows are taken like any row (ties in the key are broken by id, then size, and equal rows are
@@ -65,20 +66,34 @@ def source_targets(sizes: DataFrame, cap: int = 3, weights: tuple[int, ...] = WE
     return filled.select("_stratum", "source_size", F.when(capped, (F.col("source_size") * cap).cast("double")).otherwise(share).alias("target"))
 
 
-def mix_rows(df: DataFrame, doc_id: str, size: str, weight: str, source: str, cap: int = 3, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``source_size``, ``target``, ``copies`` (times that the mix takes the row) and ``taken``."""
+def mix_rows(df: DataFrame, doc_id: str, size: str, weight: str, source: str, cap: int = 3, seed: int = 42, buckets: int = BUCKETS, fills: int = 2) -> DataFrame:
+    """Adds ``source_size``, ``target``, ``copies`` (times that the mix takes the row) and ``taken``.
+
+    ``fills``: how often what the prefix leaves of a budget is offered to the later documents that fit in it.
+    """
+    scratch = Scratch(df.sparkSession, "mix-rows")
     rows = df.withColumns({"_stratum": stratum_of(F.col(source)), "_key": exponential_key(F.col(doc_id), F.col(weight), seed)})
     rows = rows.withColumn("_bucket", bucket_of(1.0 - F.exp(-F.col("_key")), buckets))
     totals = bucket_totals(rows, ["_stratum"], F.col(size))
     sizes = totals.groupBy("_stratum").agg(F.max("_all_amount").cast("long").alias("source_size"))
-    budgets = totals.select("_stratum", "_bucket", "_amount_before").join(source_targets(sizes, cap), "_stratum")
+    cells = totals.select("_stratum", "_bucket", "_amount_before").join(source_targets(sizes, cap), "_stratum")
     running = Window.partitionBy("_stratum", "_bucket").orderBy("_key", doc_id, size).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_within", F.coalesce(F.sum(size).over(running), F.lit(0))).join(budgets, ["_stratum", "_bucket"])
+    before = F.col("_amount_before") + F.coalesce(F.sum("_offered").over(running), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn("_epochs", epochs)
-    rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    chosen = (F.col("_amount_before") + F.col("_within") + F.col(size) / 2.0 <= rest) & (F.col("_epochs") < cap)
-    placed = placed.withColumn("copies", (F.col("_epochs") + chosen.cast("long")).cast("long"))
+    placed = rows.join(cells, ["_stratum", "_bucket"]).withColumn("_epochs", epochs)
+    placed = placed.withColumns({"_left": F.col("target") - F.col("_epochs") * F.col("source_size"), "_offered": F.col(size)})
+    fits = (before + F.col(size) <= F.col("_left")) & (F.col("_epochs") < cap)
+    placed = scratch.write(placed.withColumn("_chosen", fits).drop("_amount_before", "_offered"), "prefix")
+    for k in range(fills):
+        used = placed.groupBy("_stratum", "_bucket").agg(F.sum(F.when(F.col("_chosen"), F.col(size)).otherwise(0)).alias("_used"), F.max("_left").alias("_budget"))
+        left = used.select("_stratum", "_bucket", (F.col("_budget") - F.sum("_used").over(Window.partitionBy("_stratum"))).alias("_room"))
+        offered = placed.join(left, ["_stratum", "_bucket"])
+        small = ~F.col("_chosen") & (F.col(size) > 0) & (F.col(size) <= F.col("_room"))
+        offered = offered.withColumn("_offered", F.when(small, F.col(size)).otherwise(0))
+        totals = bucket_totals(offered, ["_stratum"], F.col("_offered")).select("_stratum", "_bucket", "_amount_before")
+        filled = offered.join(totals, ["_stratum", "_bucket"]).withColumn("_more", (F.col("_offered") > 0) & (before + F.col(size) <= F.col("_room")))
+        placed = scratch.write(filled.withColumn("_chosen", F.col("_chosen") | F.col("_more")).drop("_amount_before", "_offered", "_room", "_more"), f"fill-{k}")
+    placed = placed.withColumn("copies", (F.col("_epochs") + F.col("_chosen").cast("long")).cast("long"))
     return placed.withColumn("taken", F.col("copies") * F.col(size)).select(*df.columns, "source_size", "target", "copies", "taken")
 
 
@@ -115,7 +130,11 @@ placed AS (
   SELECT keyed.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
     coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it
   FROM keyed JOIN targets USING (stratum)),
-mixed AS (
-  SELECT *, epochs + CASE WHEN epochs < 3 AND before_it + size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END AS copies FROM placed)
+prefix AS (SELECT *, target - epochs * source_size AS budget, epochs < 3 AND before_it + size <= target - epochs * source_size AS c0 FROM placed),
+room1 AS (SELECT *, budget - sum(CASE WHEN c0 THEN size ELSE 0 END) OVER (PARTITION BY stratum) AS r1 FROM prefix),
+fill1 AS (SELECT *, NOT c0 AND size > 0 AND size <= r1 AND coalesce(sum(CASE WHEN NOT c0 AND size > 0 AND size <= r1 THEN size ELSE 0 END) OVER (PARTITION BY stratum ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= r1 AS c1 FROM room1),
+room2 AS (SELECT *, budget - sum(CASE WHEN c0 OR c1 THEN size ELSE 0 END) OVER (PARTITION BY stratum) AS r2 FROM fill1),
+fill2 AS (SELECT *, NOT c0 AND NOT c1 AND size > 0 AND size <= r2 AND coalesce(sum(CASE WHEN NOT c0 AND NOT c1 AND size > 0 AND size <= r2 THEN size ELSE 0 END) OVER (PARTITION BY stratum ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= r2 AS c2 FROM room2),
+mixed AS (SELECT *, epochs + CASE WHEN c0 OR c1 OR c2 THEN 1 ELSE 0 END AS copies FROM fill2)
 """
 OP10_SQL = MIX_SQL.replace("{docs}", "documents") + "SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM mixed"
