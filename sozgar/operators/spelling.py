@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sozgar.functions.alphabet import LONGEST_SUFFIX, MAX_DISTANCE, MIN_DIRECT_FREQ, MIN_STEM, MIN_STEM_FREQ, PARTNER, SUFFIXES
+from sozgar.functions.alphabet import MAX_DISTANCE, MIN_DIRECT_FREQ, MIN_STEM, MIN_STEM_FREQ, PARTNER, SUFFIXES
 from sozgar.functions.batch import weighted_tenths
 from sozgar.functions.forms import normal, within
 from sozgar.functions.tokens import word_spans
