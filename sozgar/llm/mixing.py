@@ -72,6 +72,7 @@ def mix_rows(df: DataFrame, doc_id: str, size: str, weight: str, source: str, ca
     ``fills``: how often what the prefix leaves of a budget is offered to the later documents that fit in it.
     """
     scratch = Scratch(df.sparkSession, "mix-rows")
+    df = df.drop("source_size", "target", "copies", "taken")
     rows = df.withColumns({"_stratum": stratum_of(F.col(source)), "_key": exponential_key(F.col(doc_id), F.col(weight), seed)})
     rows = rows.withColumn("_bucket", bucket_of(1.0 - F.exp(-F.col("_key")), buckets))
     totals = bucket_totals(rows, ["_stratum"], F.col(size))

@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = scratch.write(sketches(docs, doc_id, text, width), "signed")
     some = signed.where((F.col("n_shingles") > 0) & F.col(doc_id).isNotNull())
     classes = scratch.write(some.groupBy("set_hash", "n_shingles").agg(F.min(doc_id).alias("v"), F.count(F.lit(1)).alias("n")), "classes")
-    rows = some.select(F.col(doc_id).alias("v"), "set_hash", "n_shingles", "sketch").join(classes.select("v", "set_hash"), ["v", "set_hash"], "left_semi").dropDuplicates(["v", "set_hash"])
+    rows = some.select(F.col(doc_id).alias("v"), "set_hash", "n_shingles", "sketch").join(classes.select("v", "set_hash"), ["v", "set_hash"], "left_semi")
     rows = scratch.write(rows.dropDuplicates(["v"]).select("v", "n_shingles", "sketch"), "rows")
     found = links(rows, docs.select(F.col(doc_id).alias("v"), text).withColumnRenamed(text, "text"), scratch, width, link)
     # Equal sets link their members to the smallest; where an id has several sets these links join them.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozgar.llm.common import held_out
-from sozgar.llm.learning import Isotonic, labelled_sample, sigmoid
+from sozgar.llm.learning import Isotonic, labelled_sample
 from sozgar.llm.toxicity import CLASS, CLASSES, score
 from sozgar.llm.words import BLANK, CHUNK, LOWER, hash_runs, lay, runs
 

@@ -26,13 +26,14 @@ def seeded_unit(columns: list[Column], seed: int) -> Column:
 def interleave(df: DataFrame, source: str, tie: list[str], shards: int, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
     """Adds ``shard`` and ``slot`` (gapless from 0 in each shard). ``tie``: columns that tell rows apart."""
     scratch = Scratch(df.sparkSession, "interleave")
+    df = df.drop("shard", "slot")
     unit = seeded_unit([F.col(c) for c in tie], seed)
     rows = df.withColumns({"_stratum": stratum_of(F.col(source)), "_unit": unit}).withColumn("_bucket", bucket_of(F.col("_unit"), buckets))
     totals = bucket_totals(rows, ["_stratum"], F.lit(0))
     local = F.row_number().over(Window.partitionBy("_stratum", "_bucket").orderBy("_unit", *tie))
     ranked = rows.withColumn("_local", local).join(totals, ["_stratum", "_bucket"])
     fraction = (F.col("_rows_before") + F.col("_local") - 0.5) / F.col("_all_rows")
-    kept = [c for c in df.columns]
+    kept = df.columns
     ranked = scratch.write(ranked.select(*kept, "_stratum", fraction.alias("_fraction")).withColumn("_bucket", bucket_of(F.col("_fraction"), buckets)), "ranked")
     n = ranked.count()
     totals = bucket_totals(ranked, [], F.lit(0))

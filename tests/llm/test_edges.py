@@ -168,3 +168,17 @@ def test_mixing(spark, edge):
     for r in rows:
         assert r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size and r.target <= 3 * r.source_size + 1e-9
     assert sorted((r.doc_id or -1, r.taken) for r in rows) == sorted((r.doc_id or -1, r.taken) for r in run(spark, "op10_mix", edge[0]))
+
+
+def test_outputs_replace_columns_of_their_names(spark, edge):
+    from sozgar.llm.mixing import measured, mix_rows
+    from sozgar.llm.packing import pack
+    from sozgar.llm.sharding import interleave
+
+    docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
+    dealt = interleave(docs, "source", ["doc_id", "text"], 3)
+    assert sorted(dealt.columns) == sorted(docs.columns) and dealt.agg({"shard": "max"}).first()[0] == 2
+    mixed = mix_rows(measured(docs), "doc_id", "size", "weight", "source")
+    assert set(mixed.columns) == set(docs.columns) | {"source_size"} and mixed.count() == docs.count()
+    packed = pack(docs.drop("length", "offset").selectExpr("*", "7 AS length", "0 AS offset"), "length", ["doc_id", "text"], 10)
+    assert packed.select("sequence_id").distinct().count() == docs.count() and packed.columns.count("offset") == 1
