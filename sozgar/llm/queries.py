@@ -9,6 +9,7 @@ from sozgar.llm.html import op4_extract
 from sozgar.llm.mixing import OP10_SQL, op10_mix
 from sozgar.llm.neardup import op9_neardup
 from sozgar.llm.nearest import OP8_SQL, op8_nearest
+from sozgar.llm.oracles import OP6_SQL, OP9_SQL
 from sozgar.llm.packing import op2_pack
 from sozgar.llm.quality import op3_quality
 from sozgar.llm.repeats import op6_repeats
@@ -39,6 +40,8 @@ QUERIES = {
     "op10_mix": op10_mix,
 }
 ORACLES = {
+    "op6_repeats": OP6_SQL,
     "op8_nearest": OP8_SQL,
+    "op9_neardup": OP9_SQL,
     "op10_mix": OP10_SQL,
 }
