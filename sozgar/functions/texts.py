@@ -179,7 +179,19 @@ def is_content(text: Column | str) -> Column:
     return F.coalesce((F.length(col(text)) >= 20) & (F.size(words) >= 3) & (interface / F.greatest(F.size(words), F.lit(1)) < 0.5), F.lit(False))
 
 
+def _lines(head: Column, errors: Column, line, none: Column) -> Column:
+    return F.when(F.size(errors) == 0, none).otherwise(F.concat(head, F.lit("\n\n"), F.array_join(F.transform(errors, line), "\n")))
+
+
 def reply(total: Column, errors: Column, most: int = 3) -> Column:
     """A chat reply: the number of errors and the first suggestions of each."""
-    lines = F.transform(errors, lambda e: F.concat(F.lit("• "), e["word"], F.lit(" → "), F.when(F.size(e["suggestions"]) > 0, F.array_join(F.slice(e["suggestions"], 1, most), ", ")).otherwise("?")))
-    return F.when(F.size(errors) == 0, F.concat(F.lit("✅ "), total.cast("string"))).otherwise(F.concat(F.size(errors).cast("string"), F.lit(" / "), total.cast("string"), F.lit("\n"), F.array_join(lines, "\n")))
+    line = lambda e: F.concat(F.lit("  - "), e["word"], F.lit(" → "), F.array_join(F.slice(e["suggestions"], 1, most), ", "))
+    none = F.concat(F.lit("Xatosiz! ("), total.cast("string"), F.lit(" ta so'z tekshirildi)"))
+    return _lines(F.concat(F.size(errors).cast("string"), F.lit(" ta xato topildi:")), errors, line, none)
+
+
+def report(total: Column, errors: Column) -> Column:
+    """A report of all errors with all their suggestions."""
+    line = lambda e: F.concat(F.lit("  • "), e["word"], F.lit("  →  "), F.when(F.size(e["suggestions"]) > 0, F.array_join(e["suggestions"], ", ")).otherwise("no suggestion"))
+    none = F.concat(F.lit("All "), total.cast("string"), F.lit(" words look correct."))
+    return _lines(F.concat(F.lit("Found "), F.size(errors).cast("string"), F.lit(" error(s) out of "), total.cast("string"), F.lit(" words:")), errors, line, none)

@@ -216,6 +216,16 @@ def web_words(spark, sf_dir):
     return dictionary.word_count(read(spark, sf_dir, "conversations"), tokens.web_words("text"), 3)
 
 
+@query(f"SELECT word, count(*)::BIGINT AS freq FROM (SELECT lower(unnest(regexp_extract_all({maybe('text')}, '{oracle.CORPUS}{{2,}}'))) AS word FROM documents) GROUP BY word HAVING count(*) >= 3")
+def encyclopedia_words(spark, sf_dir):
+    return dictionary.word_count(read(spark, sf_dir, "documents"), tokens.encyclopedia_words("text"), 3)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '[{oracle.SPACE}]+')) END::INTEGER AS n FROM (SELECT conv_id, turn, regexp_replace(text, '^[{oracle.SPACE}]+|[{oracle.SPACE}]+$', '', 'g') AS t FROM conversations)")
+def blank_words(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(tokens.blank_words("text")).alias("n"))
+
+
 _HTML = "regexp_replace({}, '(?s)<!--.*?-->', ' ', 'g')"
 
 
@@ -390,6 +400,18 @@ def check_text_errors(spark, sf_dir):
     return found.withColumn("errors", _flat_errors("errors"))
 
 
+@query(_BENCH.rstrip() + f""",
+{_SPANS},
+listed AS (SELECT item_id, count(*) AS n, string_agg('  - ' || word || ' → ' || array_to_string(suggestions, ', '), chr(10) ORDER BY "start") AS a, string_agg('  • ' || word || '  →  ' || CASE WHEN len(suggestions) > 0 THEN array_to_string(suggestions, ', ') ELSE 'no suggestion' END, chr(10) ORDER BY "start") AS b FROM errs GROUP BY item_id)
+SELECT item_id, CASE WHEN n IS NULL THEN 'Xatosiz! (' || t || ' ta so''z tekshirildi)' ELSE n || ' ta xato topildi:' || chr(10) || chr(10) || a END AS reply,
+CASE WHEN n IS NULL THEN 'All ' || t || ' words look correct.' ELSE 'Found ' || n || ' error(s) out of ' || t || ' words:' || chr(10) || chr(10) || b END AS report
+FROM (SELECT item_id, len(regexp_extract_all(text, '{oracle.WORD}')) AS t FROM benchmark) LEFT JOIN listed USING (item_id)""")
+def chat_replies(spark, sf_dir):
+    found = checker(spark, sf_dir).check(read(spark, sf_dir, "benchmark"), ["item_id"])
+    total, errors = F.col("total_words"), F.col("errors")
+    return found.select("item_id", texts.reply(total, errors).alias("reply"), texts.report(total, errors).alias("report"))
+
+
 @query(_BENCH.rstrip() + f",\n{_SPANS} {_ERRORS}")
 def service_check(spark, sf_dir):
     found = service.check(checker(spark, sf_dir), read(spark, sf_dir, "benchmark"), ["item_id"])
@@ -534,7 +556,11 @@ def apply_all(spark, sf_dir):
     return _with_errors(spark, sf_dir).select("item_id", texts.apply_all("text", F.col("errors")).alias("text"))
 
 
-@query()
+@query(_BENCH.rstrip() + f""",
+{_SPANS},
+mended AS (SELECT DISTINCT item_id, word, suggestions[1] AS s FROM errs WHERE len(suggestions) > 0),
+split AS (SELECT item_id, unnest(p) AS piece, generate_subscripts(p, 1) AS at_ FROM (SELECT item_id, regexp_split_to_array(regexp_replace(text, '^[{oracle.SPACE}]+|[{oracle.SPACE}]+$', '', 'g'), '[{oracle.SPACE}]+') AS p FROM benchmark))
+SELECT x.item_id, string_agg(coalesce(m.s, piece), ' ' ORDER BY at_) AS text FROM split x LEFT JOIN mended m ON m.item_id = x.item_id AND m.word = piece GROUP BY x.item_id""")
 def autocorrect(spark, sf_dir):
     return _with_errors(spark, sf_dir).select("item_id", texts.autocorrect("text", F.col("errors")).alias("text"))
 
