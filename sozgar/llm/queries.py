@@ -13,7 +13,7 @@ from sozgar.llm.oracles import OP6_SQL, OP9_SQL
 from sozgar.llm.packing import op2_pack
 from sozgar.llm.quality import op3_quality
 from sozgar.llm.repeats import op6_repeats
-from sozgar.llm.sharding import op7_interleave
+from sozgar.llm.sharding import OP7_SQL, op7_interleave
 from sozgar.llm.tiff import media_facts, page_digest, texts_to_tiff
 from sozgar.llm.toxicity import op5_toxicity
 
@@ -41,6 +41,7 @@ QUERIES = {
 }
 ORACLES = {
     "op6_repeats": OP6_SQL,
+    "op7_interleave": OP7_SQL,
     "op8_nearest": OP8_SQL,
     "op9_neardup": OP9_SQL,
     "op10_mix": OP10_SQL,

@@ -20,7 +20,9 @@ from sozgar.llm.ranking import BUCKETS, bucket_of, bucket_totals, stratum_of
 
 def seeded_unit(columns: list[Column], seed: int) -> Column:
     """A uniform value in [0, 1) that depends on the columns and the seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+    parts = [F.lit(str(seed)), *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)]
+    digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def interleave(df: DataFrame, source: str, tie: list[str], shards: int, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
@@ -52,3 +54,16 @@ def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     dealt = interleave(rows, "source", ["doc_id", "text_crc32", "size"], shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP7_SQL = """
+WITH tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+raw AS (SELECT doc_id, source, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS MATERIALIZED (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS stratum, n + 8 AS size,
+  xor(list_reduce(list_transform(range(0, n), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM raw, tab),
+u AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '42', coalesce(doc_id::VARCHAR, ''), text_crc32::VARCHAR, size::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS unit FROM d),
+f AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY unit, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM u),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, doc_id, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM f),
+s AS (SELECT *, place * 24 // n AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard, (place - (shard * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
