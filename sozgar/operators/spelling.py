@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sozgar.functions.alphabet import MAX_DISTANCE, MIN_DIRECT_FREQ, MIN_STEM, MIN_STEM_FREQ, PARTNER, SUFFIXES
 from sozgar.functions.batch import weighted_tenths
 from sozgar.functions.forms import normal, within
-from sozgar.functions.tokens import word_spans
+from sozgar.functions.tokens import word_spans, word_tokens
 from sozgar.functions.translit import transliterate
 from sozgar.operators.dictionary import normalised, stems
 
@@ -142,7 +142,7 @@ class SpellChecker:
         fields = ["word", "start", "end", "suggestions"] if spans else ["word", "suggestions"]
         shaped = F.transform("_errors", lambda e: F.struct(*(e[f].alias(f) for f in fields)))
         empty = F.array().cast("array<struct<word:string,start:int,end:int,suggestions:array<string>>>" if spans else "array<struct<word:string,suggestions:array<string>>>")
-        total = texts.select(*keys, F.size(word_spans(text)).alias("total_words"))
+        total = texts.select(*keys, F.when(F.col(text).isNull(), 0).otherwise(F.size(word_tokens(text))).alias("total_words"))
         joined = total.join(listed, keys, "left")
         return joined.select(*keys, "total_words", F.when(F.col("_errors").isNull(), 0).otherwise(F.size("_errors")).alias("errors_found"), F.coalesce(shaped, empty).alias("errors"))
 

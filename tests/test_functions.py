@@ -134,3 +134,10 @@ def test_small_texts(spark):
     assert apply(spark, texts.without_menus, ["File Edit\nMatn\n\n\n\nyana"]) == ["Edit\nMatn\n\nyana"]
     assert apply(spark, lambda x: texts.longest(F.split(x, ",")), ["a,bbb,ccc", ""]) == ["bbb", ""]
     assert apply(spark, tokens.wiki_text, ["'''A''' [[B|c]] {{d}} [[E]]<ref>x</ref>"]) == ["A c  E"]
+
+
+def test_replies(spark):
+    rows = spark.createDataFrame([(3, [("kitoob", ["kitob", "b", "c", "d"]), ("zz", [])]), (2, [])], "n int, e array<struct<word:string,suggestions:array<string>>>")
+    found = rows.select(texts.reply(F.col("n"), F.col("e")).alias("a"), texts.report(F.col("n"), F.col("e")).alias("b")).collect()
+    assert found[0].a == "2 ta xato topildi:\n\n  - kitoob → kitob, b, c\n  - zz → " and found[1].a == "Xatosiz! (2 ta so'z tekshirildi)"
+    assert found[0].b.endswith("  • zz  →  no suggestion") and found[1].b == "All 2 words look correct."

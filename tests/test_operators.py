@@ -56,6 +56,14 @@ def test_check_text(checker):
     assert checker.correct_word("kitoob") == "kitob" and checker.correct_word("zzzzzzz") == "zzzzzzz" and checker.suggest_word("kitop")[0] == "kitob"
 
 
+def test_awkward_texts(spark, checker):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "kitoob"), (3, "kitob"), (4, "kitob " * 5000 + "kitoob")], "id int, text string")
+    found = {(r.id, r.total_words, r.errors_found) for r in checker.check(rows.where("id <> 3"), ["id"]).collect()}
+    assert found == {(1, 0, 0), (2, 0, 0), (4, 5001, 1)}
+    assert checker.check(rows.limit(0), ["id"]).collect() == [] and checker.suggest(rows.limit(0), "text").collect() == []
+    assert checker.suggest(spark.createDataFrame([(None,)], "word string")).collect() == []
+
+
 def test_pipeline_and_service(spark, checker):
     rows = spark.createDataFrame([(1, "Бу китооб жуда яхши")], "id int, text string")
     found = checker.pipeline(rows, ["id"], script="cyrillic").first()
