@@ -19,6 +19,8 @@ from sozgar.llm.repeats import without_repeats
 from sozgar.llm.toxicity import THRESHOLD, score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity in percent from which the near_dedup stage takes two documents for copies (op9 itself: 85).
+SIMILAR = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +31,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate class."""
+    """Keeps the document with the smallest id of each class of documents with a similarity of ``SIMILAR`` percent or more."""
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    found = near_duplicates(docs, link=SIMILAR).where(~F.col("kept")).select("doc_id").distinct()
     # Only ids that must go are joined; rows with a null id match none of them and stay.
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -5,9 +5,9 @@
 2. Band keys (six compressed registers) put sets into buckets. In each bucket the members are compared
    with its smallest member: sketches give a collision-corrected estimate, and pairs that may matter are
    measured exactly on full sets. Jaccard distance is a metric, so a member within ``NEAR`` of the pivot
-   has all its links among members within ``FAMILY`` of it: it is done with this bucket. The others
+   has all its links among members within ``family_floor`` of it: it is done with this bucket. The others
    repeat this with a new pivot; what ``ROUNDS`` rounds leave in a bucket is compared in blocks as in 3.
-3. Sets connected by similarities of ``FAMILY`` or more form families. A family whose members all link
+3. Sets connected by similarities of ``family_floor`` or more form families. A family whose members all link
    to one pivot is settled. In the others every pair is measured exactly, block against block, and each
    pair of blocks returns a spanning forest of its links, never the pairs themselves.
 4. Connected components of the confirmed links give the classes.
@@ -34,12 +34,17 @@ from sozgar.llm.components import components
 from sozgar.llm.hyperminhash import REGISTERS, band_keys, estimate, registers
 from sozgar.llm.shingles import SHINGLE, shingle_sets
 
-LINK, NEAR, FAMILY = 85, 55, 40
+LINK, NEAR = 85, 55
 ROUNDS = 2
 #: Members and bytes of text in a block of a family.
 BLOCK_ROWS, BLOCK_BYTES = 192, 8 << 20
 
 
+def family_floor(link: int) -> int:
+    """The similarity to a pivot, in percent, below which nothing links to a set within ``NEAR`` of the pivot (triangle inequality)."""
+    return NEAR - (100 - link)
+
+
 def sketches(df: DataFrame, doc_id: str, text: str, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_hash, sketch) of every text."""
 
@@ -173,6 +178,7 @@ def family_links(members: DataFrame, texts: DataFrame, width: int = SHINGLE, lin
 
 def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(a, b): confirmed links that connect distinct sets as all links do. ``rows``: (v, n_shingles, sketch) of one document per set; ``docs``: (v, text)."""
+    floor = family_floor(link)
     keyed = bands(rows)
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     open_ = scratch.write(keyed.join(crowded, "key"), "buckets")
@@ -183,7 +189,7 @@ def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHING
         pivots = open_.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
         pairs = open_.join(pivots, "key").where("v <> a").select("key", "a", F.col("v").alias("b"))
         distinct = scratch.write(pairs.select("a", "b").distinct(), f"pairs-{k}")
-        known.append(scratch.write(measured(estimated(distinct, rows, FAMILY), texts, width).where(F.col("percent") >= FAMILY), f"known-{k}"))
+        known.append(scratch.write(measured(estimated(distinct, rows, floor), texts, width).where(F.col("percent") >= floor), f"known-{k}"))
         done = known[-1].where(F.col("percent") >= NEAR).select("a", "b")
         left = pairs.join(done, ["a", "b"], "left_anti").select("key", F.col("b").alias("v"))
         crowded = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
