@@ -43,11 +43,15 @@ _GROUP_ODD, _PLACE_ODD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659
 KEY = ["d", "t"]
 
 
+def document(doc_id: str, text: str) -> tuple[Column, Column]:
+    """What tells documents apart: the id, and a hash of the text for those that share an id or have none."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, t, text): the id (null: the largest), a 16-bit hash of the text, the text."""
-    return docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 15)).cast("short").alias("t"), F.coalesce(text, F.lit("")).alias("text")
-    )
+    """(d, t, text): the id (null: the largest), a 64-bit hash of the text, the text."""
+    d, t = document(doc_id, text)
+    return docs.select(d.alias("d"), t.alias("t"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def window_rows(base: DataFrame, window: int) -> DataFrame:
@@ -66,7 +70,7 @@ def window_rows(base: DataFrame, window: int) -> DataFrame:
                 ["h", "c", "d", "t", "s", "n", "o"],
             )
 
-    return base.select("d", "t", "text").mapInArrow(run, "h long, c long, d long, t short, s int, n int, o int")
+    return base.select("d", "t", "text").mapInArrow(run, "h long, c long, d long, t long, s int, n int, o int")
 
 
 def contents(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -78,10 +82,10 @@ def contents(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             for d, t, raw, entries in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), text_bytes(batch.column("text")), batch.column("entries").to_pylist(), strict=True):
                 rows += [(e["h"], e["many"], e["o"], d, t, e["s"], raw[e["s"] : e["s"] + e["n"] + window - 1]) for e in entries]
             columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int16(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "many", "o", "d", "t", "s", "x"])
 
-    return base.join(wanted, KEY).select("d", "t", "text", "entries").mapInArrow(run, "h long, many boolean, o int, d long, t short, s int, x binary")
+    return base.join(wanted, KEY).select("d", "t", "text", "entries").mapInArrow(run, "h long, many boolean, o int, d long, t long, s int, x binary")
 
 
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +195,7 @@ def shared_windows(entries: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return entries.select("h", "o", "d", "t", "s", "x").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, t short, s int, e int")
+    return entries.select("h", "o", "d", "t", "s", "x").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, t long, s int, e int")
 
 
 def cells(entries: DataFrame, window: int) -> DataFrame:
@@ -220,7 +224,7 @@ def cells(entries: DataFrame, window: int) -> DataFrame:
                 ["h", "c", "o", "d", "t", "s", "x"],
             )
 
-    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "h long, c long, o int, d long, t short, s int, x binary")
+    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "h long, c long, o int, d long, t long, s int, x binary")
 
 
 def single_windows(entries: DataFrame, window: int) -> DataFrame:
@@ -236,7 +240,7 @@ def single_windows(entries: DataFrame, window: int) -> DataFrame:
             at = pa.array(entry)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("d").take(at), batch.column("t").take(at), pa.array((rows["s"][entry] + place).astype(np.int32))], ["w", "d", "t", "s"])
 
-    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "w binary, d long, t short, s int")
+    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "w binary, d long, t long, s int")
 
 
 def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -297,7 +301,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "repeats")
     marks = repeat_marks(keyed(docs, doc_id, text), scratch, window, group)
     others = [c for c in docs.columns if c not in ("spans", "kept", "kept_text")]
-    tagged = docs.select(*others, F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("_d"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << 15)).cast("short").alias("_t"))
+    d, t = document(doc_id, text)
+    tagged = docs.select(*others, d.alias("_d"), t.alias("_t"))
     joined = tagged.join(marks.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans")), ["_d", "_t"], "left").select(*others, "_spans")
 
     def run(batches):
