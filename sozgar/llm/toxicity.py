@@ -2,8 +2,8 @@
 
 Features: density of a lexicon (seed words, and words and stems learned from the labelled sample),
 second-person words near lexicon words, capitals, punctuation, and disguised words (digits and marks for
-letters, or letters parted by marks). What the lexicon learns must stand in several different contexts,
-so copies of one document teach nothing.
+letters, or letters parted by marks, looked for with and without the punctuation around the word). What
+the lexicon learns must stand in several different contexts, so copies of one document teach nothing.
 
 Defined results: null and empty texts have all-zero features and are scored like any text; very long
 texts are scored whole; without usable labels every score is the prior; repeated rows get equal scores;
@@ -37,6 +37,9 @@ for _k, _marks in ((4, b"!"), (5, b"?"), (6, b"#$%&*@^~_"), (7, b"|"), (8, b".,;
 UNMASK = LOWER.copy()
 for _a, _b in DISGUISE.items():
     UNMASK[ord(_a)] = ord(_b)
+#: What outer punctuation is not: letters, digits and marks that stand for a letter at the ends of words.
+INNER = LETTER.copy()
+INNER[list(b"0123456789@$+")] = True
 
 
 class Lexicon:
@@ -81,6 +84,31 @@ def member(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes
 
 
+def spans_in(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the runs one after another, and the run of each."""
+    lengths = ends - starts
+    owner = np.repeat(np.arange(len(starts)), lengths)
+    return buffer[np.arange(len(owner)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)], owner
+
+
+def without_outer(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without punctuation at their ends; each has a letter."""
+    inner = np.flatnonzero(INNER[buffer])
+    return inner[np.searchsorted(inner, starts)], inner[np.searchsorted(inner, ends) - 1] + 1
+
+
+def unmasked(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run: the hash of its letters with the disguise undone, whether it has a star, whether undoing made letters."""
+    n = len(starts)
+    raw, owner = spans_in(buffer, starts, ends)
+    plain = UNMASK[raw]
+    letter = LETTER[plain]
+    sizes = np.bincount(owner[letter], minlength=n)
+    last = np.cumsum(sizes)
+    starred = np.bincount(owner[(raw == 0x2A) | (raw == 0x23)], minlength=n) > 0
+    return hash_runs(plain[letter], last - sizes, last), starred, sizes != np.bincount(owner[LETTER[raw]], minlength=n)
+
+
 def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     """One row of dense features per text."""
     n = len(texts)
@@ -122,20 +150,11 @@ def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     mixed = np.flatnonzero((n_odd > 0) & (n_letters > 0) & (t_ends - t_starts <= 40))
     disguised = np.zeros(n)
     if len(mixed):
-        tokens = [bytes(UNMASK[buffer[a:b]]) for a, b in zip(t_starts[mixed].tolist(), t_ends[mixed].tolist(), strict=True)] if len(mixed) < 200 else None
-        if tokens is None:
-            inner = (LETTER[buffer[np.maximum(t_ends[mixed] - 1, 0)]]) & (LETTER[buffer[t_starts[mixed]]] | np.isin(buffer[t_starts[mixed]], list(b"0134578@$")))
-            between = mixed[inner]
-            tokens = [bytes(UNMASK[buffer[a:b]]) for a, b in zip(t_starts[between].tolist(), t_ends[between].tolist(), strict=True)]
-            mixed = between
-        plain = [bytes(c for c in t if 97 <= c < 123 or c >= 128) for t in tokens]
-        if plain:
-            raw, where = lay(plain)
-            h = hash_runs(raw, where[:-1], where[1:] - 1)
-            starred = np.array([b"*" in t or b"#" in t for t in tokens])
-            touched = np.array([len(p) != n for p, n in zip(plain, n_letters[mixed].tolist(), strict=True)]) | starred
-            found = (lexicon.weight(h) > 0) & touched | member(h, lexicon.holes) & starred
-            disguised = np.bincount(doc[t_starts[mixed]], found, n)
+        whole, starred, grown = unmasked(buffer, t_starts[mixed], t_ends[mixed])
+        bare, bare_starred, bare_grown = unmasked(buffer, *without_outer(buffer, t_starts[mixed], t_ends[mixed]))
+        found = (lexicon.weight(whole) > 0) & (grown | starred) | member(whole, lexicon.holes) & starred
+        found |= (lexicon.weight(bare) > 0) & (bare_grown | bare_starred) | member(bare, lexicon.holes) & bare_starred
+        disguised = np.bincount(doc[t_starts[mixed]], found, n)
     size = np.maximum(lengths - 1, 1).astype(float)
     hits = per(hit)
     tokens_per = np.maximum(np.bincount(doc[t_starts], minlength=n) if len(t_starts) else np.zeros(n), 1)
