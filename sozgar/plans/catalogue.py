@@ -297,6 +297,30 @@ def iterative_strip(spark, sf_dir):
     return _suffixed(spark, sf_dir).distinct().select("word", joined(forms.iterative_strip("word")).alias("stems"))
 
 
+def _all_suffixed(spark, sf_dir) -> DataFrame:
+    """Every dictionary word, as it is and with every suffix put on, once each."""
+    words = entries(spark, sf_dir).select("word")
+    return words.select(F.explode(F.array(*map(F.lit, ["", *forms.SUFFIXES]))).alias("s"), "word").select(F.concat("word", "s").alias("word")).distinct()
+
+
+# The three queries above take the 300 most frequent words, as their SQL does; these three take all and have no SQL.
+
+
+@query()
+def strip_suffix_free_all(spark, sf_dir):
+    return _all_suffixed(spark, sf_dir).select("word", forms.strip_suffix("word").alias("stem"))
+
+
+@query()
+def strip_suffix_vocabulary_all(spark, sf_dir):
+    return dictionary.stems(_all_suffixed(spark, sf_dir), dictionary.normalised(entries(spark, sf_dir)))
+
+
+@query()
+def iterative_strip_all(spark, sf_dir):
+    return _all_suffixed(spark, sf_dir).select("word", joined(forms.iterative_strip("word")).alias("stems"))
+
+
 _TYPED = f"(SELECT word, regexp_replace(word, '^(.[^aeiou]*)([aeiou])', '\\1\\2\\2') AS doubled, CASE WHEN regexp_matches(word, '[xhiyuobpdt]') THEN regexp_extract(word, '^([^xhiyuobpdt]*)', 1) || translate(substr(word, length(regexp_extract(word, '^([^xhiyuobpdt]*)', 1)) + 1, 1), 'xhiyuobpdt', 'hxyioupbtd') || substr(word, length(regexp_extract(word, '^([^xhiyuobpdt]*)', 1)) + 2) END AS swapped FROM ({counted('documents', 3)}))"
 
 
