@@ -2,8 +2,14 @@
 
 Paragraphs pass points for length and commas to their ancestors (parent in full, less with distance);
 a container's points are discounted by its link density; the best container is kept with those
-siblings that score or read like it. Menus, page headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out wherever they stand.
+siblings that score or read like it; a container inside ``article``, ``main`` or an element named like
+content gives way to that element. Menus, page headers and footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are left out wherever they stand.
+
+A class or id is evidence, not proof: words that state what a page has (``has-sidebar``, ``comments-open``)
+say nothing, and an element whose names speak both for and against it, or that wraps a heading, ``main``
+or ``article``, is in doubt. Doubtful elements are scored like any; one that neither holds the best container
+nor half as much text as it goes.
 
 Defined results: null or empty html, and pages without text, give an empty text; broken markup is
 parsed as far as it goes (unclosed elements end where their parent ends); nothing is capped; repeated
@@ -42,46 +48,71 @@ NOISE = frozenset(
 )
 GOOD = frozenset("article articlebody body content entry entrycontent main post postcontent story text".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+#: An attribute's name and value in turn, so that nothing inside a value is taken for a name.
+ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# First and last parts of names that tell a state of the page, not what the element is.
+STATE_FIRST, STATE_LAST = frozenset("has with no not without".split()), frozenset("open closed enabled disabled allowed off on".split())
+REPLIES = frozenset("comment comments commentlist disqus reply replies respond".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+NAMED = 15.0
 WORTH = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "li": -3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "th": -5.0}
 
 
 class Node:
-    __slots__ = ("tag", "noise", "weight", "parent", "children", "score", "chars", "linked", "order")
+    __slots__ = ("tag", "noise", "doubt", "sure", "weight", "parent", "children", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool, weight: float):
-        self.tag, self.parent, self.noise, self.weight = tag, parent, noise, weight
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, doubt: bool = False, sure: bool = False, weight: float = 0.0):
+        self.tag, self.parent, self.noise, self.doubt, self.sure, self.weight = tag, parent, noise, doubt, sure, weight
         self.children: list[Node | str] = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def traits(tag: str, attrs: str) -> tuple[bool, float]:
-    """Whether an element is left out by its name, role, class or id, and what class and id add to its score."""
+def named(value: str) -> tuple[set[str], bool, bool, bool]:
+    """Of the names in a class or id: the words against it, whether a name speaks for it, against it, and both at once."""
+    against: set[str] = set()
+    good = bad = both = False
+    for name in value.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if not parts or (len(parts) > 1 and (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST)):
+            continue
+        for_it, words = not GOOD.isdisjoint(parts), NOISE.intersection(parts)
+        if for_it:
+            words -= {"header"}  # the head of an article, a post, an entry
+        good |= for_it and not words
+        bad |= bool(words) and not for_it
+        both |= bool(words) and for_it
+        against |= words
+    return against, good, bad, both
+
+
+def traits(tag: str, attrs: str) -> tuple[bool, bool, bool, float]:
+    """Whether an element is left out, whether that is in doubt, whether no wrapped heading can change it, and what it adds to its score."""
     noise, weight = tag in DROPPED, WORTH.get(tag, 0.0)
-    if attrs and not attrs.isspace():
-        for name, a, b, c in ATTR.findall(attrs):
-            name, value = name.lower(), a or b or c
-            if name == "role":
-                noise |= value.lower() in ROLES
-            elif name == "hidden":
-                noise = True
-            elif name == "aria-hidden":
-                noise |= value.lower() == "true"
-            elif name == "style":
-                noise |= "display:none" in value.replace(" ", "").lower()
-            elif tag not in ("html", "body", "main", "article"):
-                parts = {p.lower() for p in NAME_PART.findall(value)}
-                if parts & NOISE and not (parts & GOOD and not parts & {"comment", "comments", "sidebar", "ad", "ads", "footer"}):
-                    noise = True
-                if parts & GOOD:
-                    weight += 15.0
-    return noise, weight
+    if not attrs or attrs.isspace():
+        return noise, False, noise and tag != "form", weight
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTR.findall(attrs):
+        found.setdefault(name.lower(), a or b or c)
+    noise |= "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+    noise |= not ROLES.isdisjoint(found.get("role", "").lower().split())
+    style = "".join(found.get("style", "").lower().split())
+    noise |= "display:none" in style or "visibility:hidden" in style
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    if noise or names == " " or tag in ("html", "body", "main"):
+        return noise, False, noise and tag != "form", weight
+    against, good, bad, both = named(names)
+    if tag == "article" and not against & REPLIES:
+        bad = both = False
+    if good and not bad and not both:
+        weight += NAMED
+    noise = bad and not good
+    return noise, both or (bad and good), noise and not against.isdisjoint(REPLIES), weight
 
 
 def parse(text: str) -> Node:
-    root = Node("#root", None, False, 0.0)
+    root = Node("#root", None)
     at, here, end = 0, root, len(text)
     lower = None
     while at < end:
@@ -107,8 +138,14 @@ def parse(text: str) -> Node:
             if node is not root:
                 here = node.parent
             elif tag == "br":
-                here.children.append(Node("br", here, False, 0.0))
+                here.children.append(Node("br", here))
             continue
+        if tag not in IN_HEAD:
+            node = here
+            while node is not root and node.tag != "head":
+                node = node.parent
+            if node is not root:  # only a few elements can stand in a head; any other ends it
+                here = node.parent
         if tag in CLOSES:
             closing, scope = CLOSES[tag]
             node = here
@@ -143,14 +180,24 @@ def parse(text: str) -> Node:
 
 def kept_children(node: Node, in_article: bool):
     for child in node.children:
-        if isinstance(child, str):
+        if isinstance(child, str) or not (child.noise or (child.tag == "header" and not in_article)):
             yield child
-        elif child.noise:
-            continue
-        elif child.tag == "header" and not in_article:
+
+
+def doubt_wrappers(root: Node) -> None:
+    """Elements left out by name alone that hold ``main``, ``article`` or a first heading, and forms that do, are in doubt instead."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.sure:
             continue
-        else:
-            yield child
+        if node.tag in ("main", "article", "h1"):
+            up = node.parent
+            while up is not None and not (up.tag in ("main", "article") and not up.noise):
+                if up.noise:
+                    up.noise, up.doubt = False, True
+                up = up.parent
+        stack.extend(c for c in node.children if not isinstance(c, str))
 
 
 def measure(root: Node) -> list[Node]:
@@ -189,7 +236,7 @@ def own_text(node: Node) -> str:
 
 
 def blocks(nodes: list[Node], in_article: bool) -> list[str]:
-    """Blocks of text in page order, references decoded, white space turned into one space."""
+    """Blocks of text in page order, references decoded, white space turned into one space. Links in an article's header go, but for those in headings."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -200,30 +247,28 @@ def blocks(nodes: list[Node], in_article: bool) -> list[str]:
             out.append(text)
 
     for top in nodes:
-        stack: list = [top]
+        stack: list = [(top, in_article, False)]
         while stack:
-            x = stack.pop()
+            x, article, head = stack.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
                 parts.append(x)
             elif x.tag == "br":
                 parts.append(" ")
-            else:
-                block = x.tag in BLOCK or x.tag == "#root"
-                inside = in_article or x.tag in ("article", "main")
-                if block:
+            elif not (head and x.tag == "a"):
+                if x.tag in BLOCK or x.tag == "#root":
                     flush()
-                    stack.append(None)
-                inner = list(kept_children(x, inside))
-                if x.tag == "header":
-                    inner = [c for c in inner if not isinstance(c, str) and c.tag in HEADING | {"hgroup", "div"}]
-                stack.extend(reversed(inner))
+                    stack.append((None, False, False))
+                article = article or x.tag in ("article", "main")
+                head = (head or x.tag == "header") and x.tag not in HEADING
+                stack.extend((c, article, head) for c in reversed(list(kept_children(x, article))))
         flush()
     return out
 
 
 def best_nodes(root: Node) -> tuple[list[Node], bool]:
+    doubt_wrappers(root)
     order = measure(root)
     scored: dict[int, Node] = {}
     for node in order:
@@ -247,11 +292,18 @@ def best_nodes(root: Node) -> tuple[list[Node], bool]:
     if best is None:
         tops = [n for n in order if n.tag in ("article", "main")] or [n for n in order if n.tag == "body"] or [root]
         return tops[:1], tops[0].tag in ("article", "main")
-    inside, up = best.tag in ("article", "main"), best.parent
+    inside, above, up = False, {id(best)}, best.parent
     while up is not None:
+        above.add(id(up))
+        if up.tag in ("article", "main") or (up.weight >= NAMED and up.tag not in ("html", "body")):
+            best = up  # the whole of what calls itself the article
         inside |= up.tag in ("article", "main")
         up = up.parent
-    if best.parent is None or best.tag in ("body", "html", "article", "main"):
+    inside |= best.tag in ("article", "main")
+    for node in order:
+        if node.doubt and id(node) not in above and 2 * node.chars < best.chars:
+            node.noise = True
+    if best.parent is None or best.tag in ("body", "html", "article", "main") or best.weight >= NAMED:
         return [best], inside
     worth = best.score * (1.0 - density(best))
     kept = []
