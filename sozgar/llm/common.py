@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import sys
 import tempfile
 import types
@@ -22,7 +24,11 @@ _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch from Spark's default, which lets a batch of texts grow to hundreds of megabytes."""
+    """Lowers the rows of an Arrow batch from Spark's default, which lets a batch of texts grow to hundreds of megabytes.
+
+    Spark reads the setting when a frame runs, so it must outlast the call that makes a lazy frame; ``release`` puts
+    the default back. A value that the caller has chosen stays.
+    """
     if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
         spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
@@ -36,10 +42,13 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one on a single machine; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sozgar-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -47,27 +56,55 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written under the shared folder to cut lineage; a lost executor costs no recomputation.
 
-    ``drop`` removes tables that no later plan reads. What the returned frame still reads stays until
-    the caller clears the shared folder.
+    ``drop`` removes tables that no later plan reads, ``close`` all of them. A frame that is returned to the caller
+    still reads some: ``release`` removes all scratch tables of the session when the caller has used it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _OPEN.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            if name in self.names:
+                self.names.discard(name)
+                self._delete(f"{self.root}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(self.names - set(names)))
+
+    def close(self) -> None:
+        self._delete(self.root)
+        self.names.clear()
+        if self in _OPEN:
+            _OPEN.remove(self)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_OPEN: list[Scratch] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the scratch tables of all operators that this session has run, and what they set; frames that read them must be done."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == str(BATCH_ROWS):
+        spark.conf.set(_BATCH_KEY, _BATCH_DEFAULT)
+    for scratch in [s for s in _OPEN if s.spark is spark]:
+        scratch.close()
 
 
 def worker_cache(name: str, make: Callable[[], object]):

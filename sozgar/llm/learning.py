@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sozgar.llm.common import held_out
+from sozgar.llm.common import Scratch, held_out
+
+#: Labelled rows from which models are learned, at most (those with the smallest hashes of their id), and bytes of their
+#: texts, at most (in the same order; a text that would pass the bound is left out whole).
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 64 << 20
+FOLDS = 4
 
-#: Labelled rows from which models are learned, at most; those with the smallest hashes of their id.
-SAMPLE_ROWS = 4_000
+#: Runs ``work(k, shared)`` for k below n and returns what it gave.
+Runner = Callable[[Callable, object, int], list]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents that are not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of at most ``rows`` labelled documents, and ``most`` bytes, that are not held out.
 
-    Ids are chosen from the labels alone, so the documents are only filtered by a bounded broadcast.
+    Ids are chosen from the labels alone, so the documents are only filtered by a bounded broadcast. Of several
+    texts under one id the one with the smallest hash is taken; null texts are empty.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).alias("_label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow()
-    found = found.sort_by("doc_id")
-    return [(t or "").encode() for t in found["text"].to_pylist()], np.array(found["_label"].to_pylist(), np.float64).reshape(-1)
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    scratch = Scratch(docs.sparkSession, "sample")
+    kept = scratch.write(found.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")), "texts")
+    held, ids = 0, []
+    for doc_id, size in kept.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", F.octet_length("_text.text")).collect():  # at most ``rows``
+        if held + size <= most:
+            held += size
+            ids.append(doc_id)
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
+    table = kept.join(F.broadcast(wanted), "doc_id").select("doc_id", "_text.text", "_label").toArrow().sort_by("doc_id")
+    scratch.close()
+    return [t.encode() for t in table["text"].to_pylist()], np.array(table["_label"].to_pylist(), np.float64).reshape(-1)
+
+
+def here(work: Callable, shared: object, n: int) -> list:
+    return [work(k, shared) for k in range(n)]
+
+
+def in_tasks(spark: SparkSession) -> Runner:
+    """A runner that gives each k a Spark task; ``shared`` is broadcast, so it must be bounded like the sample."""
+
+    def runner(work: Callable, shared: object, n: int) -> list:
+        sent = spark.sparkContext.broadcast(shared)
+
+        def run(batches):
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pickle.dumps(work(k, sent.value))], pa.binary())], ["id", "found"])
+
+        found = spark.range(0, n, 1, n).mapInArrow(run, "id long, found binary").collect()
+        sent.unpersist()
+        return [pickle.loads(r.found) for r in sorted(found, key=lambda r: r.id)]
+
+    return runner
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -109,5 +151,5 @@ class Isotonic:
         return np.clip(np.interp(x, self.at, self.value), 0.0, 1.0)
 
 
-def folds(n: int, k: int = 4) -> np.ndarray:
+def folds(n: int, k: int = FOLDS) -> np.ndarray:
     return np.random.default_rng(7).permutation(n) % k

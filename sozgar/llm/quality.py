@@ -4,7 +4,7 @@ Every line is good or bad. Emissions are linear in a line's own features and tho
 and after it; transitions are learned. Forward-backward marginals, weighted by line length, give the
 share of good text in a document, which isotonic calibration turns into the probability of label 1. In
 training the lines of a document carry its label, and lines of bad documents that the first fit finds
-good are taken as good in the second.
+good are taken as good in the second. The calibration sees only texts that the field has not seen.
 
 Defined results: null and empty texts are one empty line; blank lines are lines of length 0 (weight 1);
 very long texts are scored whole; without usable labels every score is the prior; repeated rows get
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozgar.llm.common import held_out
-from sozgar.llm.learning import Isotonic, labelled_sample
+from sozgar.llm.learning import FOLDS, Isotonic, Runner, folds, here, in_tasks, labelled_sample
 from sozgar.llm.toxicity import CLASS, CLASSES, score
 from sozgar.llm.words import BLANK, CHUNK, LOWER, hash_runs, lay, runs
 
@@ -96,6 +96,11 @@ def observations(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, before, after, edge], axis=1)
 
 
+def _times(rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Rows of two by a 2 by 2 matrix. Each result depends on its row alone, to the last bit; a library product may not."""
+    return np.stack([rows[:, 0] * m[0, k] + rows[:, 1] * m[1, k] for k in (0, 1)], axis=1)
+
+
 def forward_backward(emission: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of state 1 for every line, and summed pair marginals (2 by 2). ``emission``: score of state 1 against 0.
 
@@ -112,7 +117,7 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, first: np.ndarray)
     running = np.searchsorted(-length, -np.arange(1, top + 1), "right")
     for t in range(top):
         at = begin[: running[t]] + t
-        prior = alpha[at - 1] @ m if t else np.ones((len(at), 2))
+        prior = _times(alpha[at - 1], m) if t else np.ones((len(at), 2))
         prior[:, 1] *= good[at]
         norm[at] = prior.sum(1)
         alpha[at] = prior / norm[at][:, None]
@@ -120,7 +125,7 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, first: np.ndarray)
         at = begin[: running[t + 1]] + t
         ahead = beta[at + 1].copy()
         ahead[:, 1] *= good[at + 1]
-        beta[at] = (ahead @ m.T) / norm[at + 1][:, None]
+        beta[at] = _times(ahead, m.T) / norm[at + 1][:, None]
     both = alpha * beta
     marginal = both[:, 1] / both.sum(1)
     inner = np.ones(n, bool)
@@ -135,7 +140,7 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, first: np.ndarray)
 class LineField:
     """The random field: standardised observations, emission weights, transition scores."""
 
-    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 200, ridge: float = 1e-3, rate: float = 0.1) -> LineField:
+    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 100, ridge: float = 1e-3, rate: float = 0.1) -> LineField:
         self.mean, self.spread = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
         self.mean[-3:], self.spread[-3:] = 0, 1
         z = (x - self.mean) / self.spread
@@ -156,24 +161,51 @@ class LineField:
         return self
 
     def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return forward_backward(((x - self.mean) / self.spread) @ self.weight, self.step, first)[0]
+        emission = np.zeros(len(x))
+        for k, w in enumerate(self.weight):  # column by column: the same to the last bit whatever lines stand beside
+            emission += (x[:, k] - self.mean[k]) / self.spread[k] * w
+        return forward_backward(emission, self.step, first)[0]
 
 
 def good_share(marginal: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    weight = size + 1.0
-    total = lambda v: np.diff(np.concatenate([[0.0], np.cumsum(v)])[first])
+    weight, n = size + 1.0, len(first) - 1
+    text = np.repeat(np.arange(n), np.diff(first))
+    total = lambda v: np.bincount(text, v, n)
     return total(weight * marginal) / np.maximum(total(weight), 1e-9)
 
 
+def _fit(rows: np.ndarray, first: np.ndarray, good: np.ndarray) -> LineField:
+    x, y = observations(rows, first), np.repeat(good, np.diff(first))
+    field = LineField().fit(x, y, first, steps=60)
+    if len(x):
+        y = np.where((y == 0) & (field.marginals(x, first) > 0.8), 1.0, y)
+        field.fit(x, y, first)
+    return field
+
+
+def _fold(k: int, sample: tuple[list[bytes], np.ndarray]) -> dict | np.ndarray:
+    """Good shares of the texts of fold k by a field of the others; beyond the folds, the field of all."""
+    texts, good = sample
+    if k == FOLDS:
+        rows, _, first = chunked_features(texts)
+        return vars(_fit(rows, first, good))  # plain values: workers need not have the package on their path
+    inside = folds(len(texts)) != k
+    if not inside.any() or inside.all():
+        return np.zeros((~inside).sum())
+    rows, _, first = chunked_features([t for t, i in zip(texts, inside, strict=True) if i])
+    field = _fit(rows, first, good[inside])
+    rows, size, first = chunked_features([t for t, i in zip(texts, inside, strict=True) if not i])
+    return good_share(field.marginals(observations(rows, first), first), size, first)
+
+
 class QualityModel:
-    def fit(self, texts: list[bytes], good: np.ndarray) -> QualityModel:
-        rows, size, first = chunked_features(texts)
-        x, y = observations(rows, first), np.repeat(good, np.diff(first))
-        self.field = LineField().fit(x, y, first, steps=120)
-        if len(x):
-            y = np.where((y == 0) & (self.field.marginals(x, first) > 0.8), 1.0, y)
-            self.field.fit(x, y, first)
-        share = good_share(self.field.marginals(x, first), size, first) if len(x) else np.zeros(0)
+    def fit(self, texts: list[bytes], good: np.ndarray, runner: Runner = here) -> QualityModel:
+        *shares, field = runner(_fold, (texts, good), FOLDS + 1)
+        self.field = LineField()
+        vars(self.field).update(field)
+        part, share = folds(len(texts)), np.zeros(len(texts))
+        for k in range(FOLDS):  # the calibration sees only shares of texts that the field has not seen
+            share[part == k] = shares[k]
         self.calibration = Isotonic().fit(share, good, prior=float(good.mean()) if len(good) else 0.5)
         return self
 
@@ -201,7 +233,7 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    return QualityModel().fit(*labelled_sample(docs, labels, "quality"))
+    return QualityModel().fit(*labelled_sample(docs, labels, "quality"), in_tasks(docs.sparkSession))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ letters, or letters parted by marks, looked for with and without the punctuation
 the lexicon learns must stand in several different contexts, so copies of one document teach nothing.
 
 Defined results: null and empty texts have all-zero features and are scored like any text; very long
-texts are scored whole; without usable labels every score is the prior; repeated rows get equal scores;
-an empty table gives an empty result; extra columns are ignored by the query and carried by ``score``.
+texts are scored whole; without usable labels every score is the prior; a text's features, and so its score,
+do not depend on the texts that share a batch with it, so repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored by the query and carried by ``score``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozgar.llm.common import bound_batches, held_out, slices, text_bytes
-from sozgar.llm.learning import BoostedTrees, Isotonic, folds, labelled_sample, sigmoid
+from sozgar.llm.learning import FOLDS, BoostedTrees, Isotonic, Runner, folds, here, in_tasks, labelled_sample, sigmoid
 from sozgar.llm.words import BLANK, CHUNK, LETTER, LOWER, RunHasher, hash_runs, hash_word, lay, runs
 
 # Common English insults and second-person words of the corpus languages.
@@ -147,7 +147,7 @@ def features(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     letters = np.zeros(len(buffer) + 1)
     np.cumsum(LETTER[buffer], out=letters[1:])
     n_odd, n_letters = odd[t_ends] - odd[t_starts], letters[t_ends] - letters[t_starts]
-    mixed = np.flatnonzero((n_odd > 0) & (n_letters > 0) & (t_ends - t_starts <= 40))
+    mixed = np.flatnonzero((n_odd > 0) & (n_letters > 0))
     disguised = np.zeros(n)
     if len(mixed):
         whole, starred, grown = unmasked(buffer, t_starts[mixed], t_ends[mixed])
@@ -223,19 +223,33 @@ def learn_lexicon(texts: list[bytes], toxic: np.ndarray, contexts: int = 4, odds
     return Lexicon(found, kept)
 
 
+def _fit(texts: list[bytes], toxic: np.ndarray) -> tuple[Lexicon, BoostedTrees]:
+    lexicon = learn_lexicon(texts, toxic)
+    return lexicon, BoostedTrees().fit(chunked_features(texts, lexicon), toxic)
+
+
+def _fold(k: int, sample: tuple[list[bytes], np.ndarray]) -> tuple[dict, dict, dict] | np.ndarray:
+    """Margins of the texts of fold k by a model of the others; beyond the folds, the model of all."""
+    texts, toxic = sample
+    if k == FOLDS:
+        lexicon, trees = _fit(texts, toxic)
+        return lexicon.words, lexicon.stems, vars(trees)  # plain values: workers need not have the package on their path
+    inside = folds(len(texts)) != k
+    if not inside.any() or inside.all():
+        return np.zeros((~inside).sum())
+    lexicon, trees = _fit([t for t, i in zip(texts, inside, strict=True) if i], toxic[inside])
+    return trees.margin(chunked_features([t for t, i in zip(texts, inside, strict=True) if not i], lexicon))
+
+
 class ToxicityModel:
-    def fit(self, texts: list[bytes], toxic: np.ndarray) -> ToxicityModel:
-        part = folds(len(texts))
-        margin = np.zeros(len(texts))
-        for k in range(4):  # the calibration sees only margins of texts that neither lexicon nor trees have seen
-            inside = part != k
-            if inside.sum() and (~inside).sum():
-                lexicon = learn_lexicon([t for t, i in zip(texts, inside, strict=True) if i], toxic[inside])
-                trees = BoostedTrees().fit(chunked_features([t for t, i in zip(texts, inside, strict=True) if i], lexicon), toxic[inside])
-                margin[~inside] = trees.margin(chunked_features([t for t, i in zip(texts, inside, strict=True) if not i], lexicon))
+    def fit(self, texts: list[bytes], toxic: np.ndarray, runner: Runner = here) -> ToxicityModel:
+        *margins, (words, stems, trees) = runner(_fold, (texts, toxic), FOLDS + 1)
+        self.lexicon, self.trees = Lexicon(words, stems), BoostedTrees()
+        vars(self.trees).update(trees)
+        part, margin = folds(len(texts)), np.zeros(len(texts))
+        for k in range(FOLDS):  # the calibration sees only margins of texts that neither lexicon nor trees have seen
+            margin[part == k] = margins[k]
         self.calibration = Isotonic().fit(margin, toxic, prior=float(toxic.mean()) if len(toxic) else 0.0)
-        self.lexicon = learn_lexicon(texts, toxic)
-        self.trees = BoostedTrees().fit(chunked_features(texts, self.lexicon), toxic)
         return self
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
@@ -245,7 +259,7 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return ToxicityModel().fit(*labelled_sample(docs, labels, "toxic"))
+    return ToxicityModel().fit(*labelled_sample(docs, labels, "toxic"), in_tasks(docs.sparkSession))
 
 
 def score(df: DataFrame, model, text: str = "text", output: str = "score") -> DataFrame:
@@ -256,7 +270,7 @@ def score(df: DataFrame, model, text: str = "text", output: str = "score") -> Da
 
     def run(batches):
         for batch in slices(batches, text):
-            values = np.round(shared.value(text_bytes(batch.column(text))), 9)  # so that equal texts score alike whatever they share a chunk with
+            values = shared.value(text_bytes(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(values, pa.float64())], [*others, output])
 
     return df.select(*others).mapInArrow(run, df.select(*others, F.lit(0.0).alias(output)).schema)
