@@ -10,7 +10,7 @@ from sozgar.llm.anchors import anchors
 from sozgar.llm.html import main_text
 from sozgar.llm.hyperminhash import band_keys, estimate, registers
 from sozgar.llm.learning import BoostedTrees, Isotonic
-from sozgar.llm.packing import best_fit, bin_completion, lower_bound
+from sozgar.llm.packing import best_fit, bin_completion, dominated, lower_bound, search
 from sozgar.llm.quality import QualityModel, forward_backward
 from sozgar.llm.shingles import shingle_sets
 from sozgar.llm.suffixes import suffix_array
@@ -97,18 +97,59 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packs(counts, bin_completion(counts, capacity), capacity) == n
 
 
+def histogram(r, n, low, high):
+    counts = {}
+    for _ in range(n):
+        s = r.randint(low, high)
+        counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
 def test_bin_completion_beats_best_fit():
-    r = random.Random(9)
-    for _ in range(20):
-        counts = {}
-        for _ in range(12):  # triples that fill a bin exactly
-            a, b = r.randint(250, 400), r.randint(250, 400)
-            for s in (a, b, 1000 - a - b):
-                counts[s] = counts.get(s, 0) + 1
-        assert packs(counts, bin_completion(counts, 1000), 1000) <= packs(counts, best_fit(counts, 1000), 1000)
     assert bin_completion({}) == []
     huge = {3000: 10**9, 1096: 10**9, 1: 7}
     assert packs(huge, bin_completion(huge, 4096), 4096) == 10**9 + 1
+    r = random.Random(9)
+    few = {s: 6000 + 100 * k for k, s in enumerate([1500, 1300, 1296, 1100, 1024, 900, 872, 640])}
+    for counts, better in ((histogram(r, 5000, 800, 2600), 10), (histogram(r, 5000, 600, 1500), 5), (histogram(r, 50_000, 700, 1100), 50), (few, 500)):
+        found = search(dict(counts), 4096)
+        assert packs(counts, found.runs, 4096) == found.sequences and found.found_by == "bin completion" and not found.proven
+        assert found.bound <= found.sequences <= found.best_fit - better
+
+
+def test_bin_completion_near_the_bound():
+    """60 pieces of 800 to 2600 in 60 histograms: the gaps to the bound add up to 24 at most, of best fit to more."""
+    r = random.Random(1)
+    gap = plain = 0
+    for _ in range(60):
+        counts = histogram(r, 60, 800, 2600)
+        found = search(dict(counts), 4096)
+        assert packs(counts, found.runs, 4096) == found.sequences >= found.bound == lower_bound(counts, 4096)
+        gap, plain = gap + found.sequences - found.bound, plain + found.best_fit - found.bound
+    assert gap <= 24 < plain
+
+
+def test_dominance():
+    def plain(filling, room, counts):
+        items = [s for s, m in filling.items() for _ in range(m)]
+        out = [s for s, n in counts.items() if n > filling.get(s, 0)]
+        spare = room - sum(items)
+        for bits in range(1 << len(items)):
+            chosen = [s for i, s in enumerate(items) if bits >> i & 1]
+            if any(sum(chosen) < x <= sum(chosen) + spare or (x == sum(chosen) and len(chosen) > 1) for x in out):
+                return True
+        return False
+
+    r = random.Random(4)
+    seen = set()
+    for _ in range(2000):
+        counts = {s: r.randint(1, 3) for s in r.sample(range(1, 14), r.randint(1, 6))}
+        filling = {s: r.randint(1, n) for s, n in counts.items() if r.random() < 0.5}
+        room = sum(s * m for s, m in filling.items()) + r.randint(0, 4)
+        found = dominated(filling, room, sum(1 << s for s in counts), counts)
+        assert found == plain(filling, room, counts)
+        seen.add(found)
+    assert len(seen) == 2
 
 
 def test_suffix_array():
