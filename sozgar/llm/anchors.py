@@ -28,33 +28,39 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(buffer: np.ndarray, starts: np.ndarray, window: int, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def rightmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Of each ``width`` consecutive values: the place of the smallest (by its upper 44 bits), of equal ones the last."""
+    found = []
+    step = (1 << _LOW) - width  # places inside a piece fit in the lower bits
+    for start in range(0, len(values) - width + 1, step):
+        part = values[start : start + step + width - 1]
+        packed = (part >> np.uint64(_LOW) << np.uint64(_LOW)) | (_MASK - np.arange(len(part), dtype=np.uint64))
+        found.append(start + (_MASK - (sliding_min(packed, width) & _MASK)).astype(np.int64))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def anchors(buffer: np.ndarray, starts: np.ndarray, window: int, kgram: int = KGRAM, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, its hash, first window, last window) for each run of windows; all are places in ``buffer``.
 
     ``starts``: where texts begin (one more at the end); the byte before each next text belongs to none.
+    ``bits``: of the hash; fewer make more windows meet, nothing else.
     """
     none = np.zeros(0, np.int64)
     n = len(buffer)
     if n < window:
         return none, none.astype(np.uint64), none, none
     at = np.arange(n - kgram + 1)
-    hashes = RunHasher(buffer)(at, at + kgram)
-    if n >= 1 << _LOW:  # places are told apart modulo 2**20, more than a window apart from their like
-        place = at & ((1 << _LOW) - 1)
-    else:
-        place = at
-    packed = (hashes >> np.uint64(_LOW) << np.uint64(_LOW)) | (_MASK - place.astype(np.uint64))
-    least = sliding_min(packed, window - kgram + 1)
+    hashes = RunHasher(buffer)(at, at + kgram) >> np.uint64(64 - bits) << np.uint64(64 - bits)
     whole = np.zeros(n + 1, np.int64)
     lengths = np.diff(starts) - 1
     keep = lengths >= window
     np.add.at(whole, starts[:-1][keep], 1)
     np.add.at(whole, starts[:-1][keep] + lengths[keep] - window + 1, -1)
+    least = rightmost_least(hashes, window - kgram + 1)
     first = np.flatnonzero(np.cumsum(whole)[: len(least)] > 0)
     if not len(first):
         return none, none.astype(np.uint64), none, none
-    low = (_MASK - (least[first] & _MASK)).astype(np.int64)
-    anchor = first + ((low - first) & ((1 << _LOW) - 1))
+    anchor = least[first]
     begins = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(first, prepend=-2) != 1))
     ends = np.append(begins[1:], len(first)) - 1
     return anchor[begins], hashes[anchor[begins]], first[begins], first[ends]

@@ -135,6 +135,25 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
     give_back()
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def boxed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of the caller's frame in one, so that their names meet no inner names."""
+    return F.struct(*(column(c) for c in df.columns)).alias(name) if df.columns else F.lit(None).alias(name)
+
+
+def unboxed(df: DataFrame, names: list[str], name: str = "row") -> list[Column]:
+    """The caller's columns out of the box again."""
+    return [F.col(name).getField(c).alias(c) for c in names]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 when divided by 4; null ids are not held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

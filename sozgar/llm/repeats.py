@@ -1,91 +1,101 @@
 """Exact removal of repeated passages: every byte under a ``window``-byte string that also starts earlier.
 
 1. Each window is represented by its anchor (the smallest k-gram hash in it); consecutive windows with the
-   same anchor are one row (anchor hash, content hash, place). Only anchors that occur twice go on.
-2. Rows with equal anchor and content are one entry; all but its earliest occurrence are repeats.
-3. Different entries of one anchor may still share windows. Windows that no other entry of the anchor
-   has are trimmed off; the rest is sorted by a suffix array (linear grouping construction), equal windows
-   are neighbours there, and all but the earliest of each are repeats.
-4. Anchors with more than ``GROUP`` different entries are not brought into one task. Their windows are cut
-   into cells of ``CELL`` neighbouring places; windows of a cell can be equal only if the bytes that all of
-   them share are, so cells with equal shared bytes go through steps 2 and 3 on their own. Where even these
-   are too many, windows are grouped one by one by anchor, place and content. All ways give one answer.
-
-"Earlier" is a smaller id (null ids last; rows that share an id are told apart by a hash of their text), then
-an earlier start. Defined results: null or empty text has no bytes and nothing to remove; texts shorter
-than the window lose nothing; exactly repeated rows (same id and text) are one document and get equal
-results; an empty table gives an empty result; very long texts are taken whole; extra columns are ignored
-by the query and carried by ``without_repeats``.
+   same anchor are one entry (anchor hash, place). Only anchors that occur twice go on, with their bytes.
+2. The entries of an anchor meet in a task. Equal entries (equal bytes) are one string; all but the earliest
+   are repeats. Of the different strings, the windows that seem shared are sorted by a suffix array (linear
+   grouping construction); equal windows are neighbours there, and all but the earliest of each are repeats.
+3. Anchors with more than ``GROUP`` entries are not brought into one task. Equal entries are found by their
+   bytes, with map-side combination. Where more than ``GROUP`` different ones stay, their windows are cut into
+   cells of ``CELL`` neighbouring places; windows of a cell can be equal only if the bytes that all of them
+   share are, so cells with equal shared bytes take the place of the anchor. Where even these are too many,
+   windows are grouped one by one by their bytes. All ways give one answer.
+
+Hashes only decide what meets; bytes decide what is equal, so fewer bits of hash (``bits``) cost time alone.
+
+"Earlier" is a smaller id (null ids last; rows that share an id are told apart and ordered by 127 bits of hash of
+their text), then an earlier start. Defined results: null or empty text has no bytes and nothing to remove;
+texts shorter than the window lose nothing; exactly repeated rows (same id and text) are one document and get
+equal results; an empty table gives an empty result; very long texts are taken whole; extra columns, whatever
+their names, are ignored by the query and carried by ``without_repeats``.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sozgar.llm.anchors import anchors
-from sozgar.llm.common import Scratch, mix64, slices, text_bytes
+from sozgar.llm.common import Scratch, boxed, column, mix64, slices, text_bytes, unboxed
 from sozgar.llm.suffixes import suffix_array
 from sozgar.llm.words import CHUNK, RunHasher, lay
 
 WINDOW = 100
-#: Different entries of an anchor that one task compares.
+#: Entries of an anchor that one task compares.
 GROUP = 1024
 #: Windows of a cell into which the entries of crowded anchors are cut.
 CELL = 8
 #: Bytes that go into one suffix array, unless a single anchor has more.
 TOGETHER = 1 << 16
 _GROUP_ODD, _PLACE_ODD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
-KEY = ["d", "t"]
+#: What tells documents apart, in the order in which they count as earlier.
+KEY = ["d", "t", "u"]
+KEY_TYPES = "d long, t long, u long"
 
 
-def document(doc_id: str, text: str) -> tuple[Column, Column]:
-    """What tells documents apart: the id, and a hash of the text for those that share an id or have none."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.coalesce(text, F.lit("")))
+def document(doc_id: str, text: str) -> list[Column]:
+    """(d, t, u): the id, and two hashes of the text; the sign of ``t`` parts null ids from the largest id and puts them last."""
+    whole, key = F.coalesce(column(text), F.lit("")), column(doc_id).cast("long")
+    rest = F.shiftrightunsigned(F.xxhash64(whole), 1)
+    t = F.when(key.isNull(), rest).otherwise(rest.bitwiseOR(F.lit(-(1 << 63))))
+    return [F.coalesce(key, F.lit((1 << 63) - 1)).alias("d"), t.alias("t"), F.xxhash64(whole, F.lit(1)).alias("u")]
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, t, text): the id (null: the largest), a 64-bit hash of the text, the text."""
-    d, t = document(doc_id, text)
-    return docs.select(d.alias("d"), t.alias("t"), F.coalesce(text, F.lit("")).alias("text"))
+    """(d, t, u, text)."""
+    return docs.select(*document(doc_id, text), F.coalesce(column(text), F.lit("")).alias("text"))
 
 
-def window_rows(base: DataFrame, window: int) -> DataFrame:
-    """(h, c, d, t, s, n, o): anchor hash, content hash, document, first window, number of windows, anchor's place in the content."""
+def window_rows(base: DataFrame, window: int, bits: int = 64) -> DataFrame:
+    """(h, d, t, u, s, n, o): anchor hash, document, first window, number of windows, anchor's place in the content."""
 
     def run(batches):
         for batch in slices(batches, "text", CHUNK):
             buffer, starts = lay(text_bytes(batch.column("text")))
-            anchor, h, first, last = anchors(buffer, starts, window)
-            content = RunHasher(buffer)(first, last + window)
-            content = mix64(content + (anchor - first).astype(np.uint64) * _PLACE_ODD)
+            anchor, h, first, last = anchors(buffer, starts, window, bits=bits)
             doc = np.searchsorted(starts, first, "right") - 1
             at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), batch.column("d").take(at), batch.column("t").take(at), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32))],
-                ["h", "c", "d", "t", "s", "n", "o"],
+                [pa.array(h.view(np.int64)), *(batch.column(k).take(at) for k in KEY), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32))],
+                ["h", *KEY, "s", "n", "o"],
             )
 
-    return base.select("d", "t", "text").mapInArrow(run, "h long, c long, d long, t long, s int, n int, o int")
+    return base.select(*KEY, "text").mapInArrow(run, f"h long, {KEY_TYPES}, s int, n int, o int")
 
 
 def contents(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(h, many, o, d, t, s, x): the bytes of the entries that ``wanted`` lists per document."""
+    """(h, many, o, d, t, u, s, x): the bytes of the entries that ``wanted`` lists per document."""
 
     def run(batches):
         for batch in slices(batches, "text", CHUNK):
-            rows = []
-            for d, t, raw, entries in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), text_bytes(batch.column("text")), batch.column("entries").to_pylist(), strict=True):
-                rows += [(e["h"], e["many"], e["o"], d, t, e["s"], raw[e["s"] : e["s"] + e["n"] + window - 1]) for e in entries]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "many", "o", "d", "t", "s", "x"])
-
-    return base.join(wanted, KEY).select("d", "t", "text", "entries").mapInArrow(run, "h long, many boolean, o int, d long, t long, s int, x binary")
+            entries = batch.column("entries")
+            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(entries).to_numpy(zero_copy_only=False))
+            field = {f.name: v for f, v in zip(entries.type.value_type, entries.flatten().flatten(), strict=True)}
+            s, n = (field[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("s", "n"))
+            raw = text_bytes(batch.column("text"))
+            for first in range(0, len(owner), 1 << 14):  # entries overlap, so their bytes come in parts
+                cut = slice(first, first + (1 << 14))
+                x = [raw[i][a:b] for i, a, b in zip(owner[cut].tolist(), s[cut].tolist(), (s[cut] + n[cut] + window - 1).tolist(), strict=True)]
+                at, size = pa.array(owner[cut]), len(x)
+                yield pa.RecordBatch.from_arrays(
+                    [field["h"].slice(first, size), field["many"].slice(first, size), field["o"].slice(first, size), *(batch.column(k).take(at) for k in KEY), field["s"].slice(first, size), pa.array(x, pa.binary())],
+                    ["h", "many", "o", *KEY, "s", "x"],
+                )
+
+    return base.join(wanted, KEY).select(*KEY, "text", "entries").mapInArrow(run, f"h long, many boolean, o int, {KEY_TYPES}, s int, x binary")
 
 
 def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,32 +115,46 @@ def window_classes(buffer: np.ndarray, valid: np.ndarray, window: int) -> tuple[
     return order, np.concatenate([[0], np.cumsum(~same)])
 
 
-def later_windows(h: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, s: np.ndarray, x: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, first, end): runs of bytes of the entries under windows that an earlier entry of the same anchor has."""
-    none = np.zeros(0, np.int64)
+def later_windows(h: np.ndarray, o: np.ndarray, rank: np.ndarray, s: np.ndarray, x: list[bytes], window: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first, end): runs of bytes of the entries under windows that an earlier entry of the same anchor has.
+
+    ``rank``: the place of each entry's document in the order of documents, equal for entries of one document.
+    """
+    # Equal entries are one string; the earliest stands for them, the others are repeats.
+    strings: dict[tuple[int, int, bytes], int] = {}
+    own = np.array([strings.setdefault(key, len(strings)) for key in zip(h.tolist(), o.tolist(), x, strict=True)])
+    by = np.lexsort((s, rank, own))
+    fresh = np.concatenate([[True], own[by][1:] != own[by][:-1]])
+    head = by[fresh]  # of each string in turn
+    lead = head[own]
+    copies = np.flatnonzero((rank != rank[lead]) | (s != s[lead]))
+    gone_e, gone_a, gone_b = [copies], [s[copies]], [s[copies] + np.array([len(x[i]) for i in copies.tolist()], np.int64)]
+    h, o, e_rank, e_s, x = h[head], o[head], rank[head], s[head], [x[i] for i in head.tolist()]
+    done = lambda: tuple(np.concatenate(v) for v in (gone_e, gone_a, gone_b))
+    # Windows that seem to stand in another string of the anchor, or twice in one.
     buffer, starts = lay(x)
     n = np.diff(starts) - window  # lay adds a byte
     entry, place = spread(n)
     at = starts[entry] + place
-    hashes = RunHasher(buffer)(at, at + window)
+    hashes = RunHasher(buffer)(at, at + window) >> np.uint64(64 - bits)
     key = mix64(hashes + h[entry].view(np.uint64) * _GROUP_ODD + (place - o[entry]).astype(np.uint64) * _PLACE_ODD)
     _, which, count = np.unique(key, return_inverse=True, return_counts=True)
     shared = count[which] > 1
     if not shared.any():
-        return none, none, none
-    # Pieces: runs of windows that some other entry seems to share; equal pieces are one string.
+        return done()
+    # Pieces: runs of such windows; equal pieces are one string.
     kept = np.flatnonzero(shared)
     breaks = np.flatnonzero((np.diff(kept, prepend=-2) != 1) | (np.diff(entry[kept], prepend=-1) != 0))
     firsts, lasts = kept[breaks], kept[np.append(breaks[1:], len(kept)) - 1]
     p_entry, p_place, p_count = entry[firsts], place[firsts], lasts - firsts + 1
     raw = buffer.tobytes()
-    strings: dict[tuple[int, int, bytes], int] = {}
+    pieces: dict[tuple[int, int, bytes], int] = {}
     p_string = np.array([
-        strings.setdefault((g, r, raw[a:b]), len(strings))
+        pieces.setdefault((g, r, raw[a:b]), len(pieces))
         for g, r, a, b in zip(h[p_entry].tolist(), (p_place - o[p_entry]).tolist(), at[firsts].tolist(), (at[lasts] + window).tolist(), strict=True)
     ])
-    text = np.frombuffer(b"".join(k[2] for k in strings), np.uint8)
-    length = np.array([len(k[2]) for k in strings])
+    text = np.frombuffer(b"".join(k[2] for k in pieces), np.uint8)
+    length = np.array([len(k[2]) for k in pieces])
     begin = np.cumsum(length) - length
     owner, offset = spread(length)
     order, number = window_classes(text, offset <= length[owner] - window, window)
@@ -139,29 +163,41 @@ def later_windows(h: np.ndarray, o: np.ndarray, d: np.ndarray, t: np.ndarray, s:
     # Every window of every piece with its class; the earliest of a class stays.
     piece, step = spread(p_count)
     e, j = p_entry[piece], p_place[piece] + step
-    cls, start = class_at[begin[p_string[piece]] + step], s[e] + j
-    by = np.lexsort((start, t[e], d[e], cls))
+    cls, start = class_at[begin[p_string[piece]] + step], e_s[e] + j
+    by = np.lexsort((start, e_rank[e], cls))
     first = np.concatenate([[True], cls[by][1:] != cls[by][:-1]])
-    head = by[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    lead = by[np.flatnonzero(first)[np.cumsum(first) - 1]]
     later = np.zeros(len(e), bool)
-    later[by] = (start[by] != start[head]) | (t[e][by] != t[e][head]) | (d[e][by] != d[e][head])
+    later[by] = (start[by] != start[lead]) | (e_rank[e][by] != e_rank[e][lead])
     gone = np.flatnonzero(later)
-    if not len(gone):
-        return none, none, none
-    cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(piece[gone], prepend=-1) != 0))
-    a, b = gone[cut], gone[np.append(cut[1:], len(gone)) - 1]
-    return e[a], start[a], start[b] + window
+    if len(gone):
+        cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(piece[gone], prepend=-1) != 0))
+        a, b = gone[cut], gone[np.append(cut[1:], len(gone)) - 1]
+        gone_e, gone_a, gone_b = [*gone_e, head[e[a]]], [*gone_a, start[a]], [*gone_b, start[b] + window]
+    return done()
+
+
+def ranks(d: np.ndarray, t: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The place of each row's document in the order of documents."""
+    by = np.lexsort((u, t, d))
+    new = np.concatenate([[0], (np.diff(d[by]) != 0) | (np.diff(t[by]) != 0) | (np.diff(u[by]) != 0)])
+    out = np.empty(len(d), np.int64)
+    out[by] = np.cumsum(new)
+    return out
 
 
-def shared_windows(entries: DataFrame, window: int) -> DataFrame:
-    """(d, t, s, e): repeats among the different entries of each anchor. The entries of an anchor meet in one task, in a row."""
+MARK = [*KEY, "s", "e"]
+
+
+def shared_windows(entries: DataFrame, window: int, bits: int = 64) -> DataFrame:
+    """(d, t, u, s, e): repeats among the entries of each anchor. The entries of an anchor meet in one task, in a row."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def flush(batch):
-            column = lambda k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)
-            h = column("h")
+            number = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "o", *KEY, "s")}
+            h, rank = number["h"], ranks(*(number[k] for k in KEY))
             x = batch.column("x").to_pylist()
             sizes = np.array([len(v) for v in x])
             edges = np.flatnonzero(np.diff(h, append=~h[-1:]) != 0) + 1  # ends of anchors
@@ -174,10 +210,10 @@ def shared_windows(entries: DataFrame, window: int) -> DataFrame:
                 end = int(edges[k + max(int(fit), 1) - 1])
                 cut = slice(start, end)
                 if end - start > 1:
-                    e, a, b = later_windows(h[cut], column("o")[cut], column("d")[cut], column("t")[cut], column("s")[cut], x[cut], window)
+                    e, a, b = later_windows(h[cut], number["o"][cut], rank[cut], number["s"][cut], x[cut], window, bits)
                     if len(e):
                         at = pa.array(e + start)
-                        yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("t").take(at), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["d", "t", "s", "e"])
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in KEY), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], MARK)
                 start = end
 
         for batch in batches:
@@ -195,11 +231,11 @@ def shared_windows(entries: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return entries.select("h", "o", "d", "t", "s", "x").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, t long, s int, e int")
+    return entries.select("h", "o", *KEY, "s", "x").repartition("h").sortWithinPartitions("h").mapInArrow(run, f"{KEY_TYPES}, s int, e int")
 
 
-def cells(entries: DataFrame, window: int) -> DataFrame:
-    """(h, c, o, d, t, s, x): the entries cut into cells of neighbouring windows; ``h`` also covers the bytes that all windows of the cell share."""
+def cells(entries: DataFrame, window: int, bits: int = 64) -> DataFrame:
+    """(h, o, d, t, u, s, x): the entries cut into cells of neighbouring windows; ``h`` also covers the bytes that all windows of the cell share."""
 
     def run(batches):
         for batch in slices(batches, "x", CHUNK):
@@ -213,74 +249,79 @@ def cells(entries: DataFrame, window: int) -> DataFrame:
             place = cell * CELL + o[entry]
             first, last = np.maximum(place, 0), np.minimum(place + CELL, n[entry])
             base = starts[entry]
-            hasher = RunHasher(buffer)
-            shared = hasher(base + place + CELL - 1, base + place + window)
+            shared = RunHasher(buffer)(base + place + CELL - 1, base + place + window) >> np.uint64(64 - bits)
             group = mix64(shared + h[entry].view(np.uint64) * _GROUP_ODD + cell.astype(np.uint64) * _PLACE_ODD)
-            content = mix64(hasher(base + first, base + last + window - 1) + (o[entry] - first).astype(np.uint64) * _PLACE_ODD)
             raw, at = buffer.tobytes(), pa.array(entry)
             cut = [raw[a:b] for a, b in zip((base + first).tolist(), (base + last + window - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group.view(np.int64)), pa.array(content.view(np.int64)), pa.array((o[entry] - first).astype(np.int32)), batch.column("d").take(at), batch.column("t").take(at), pa.array((s[entry] + first).astype(np.int32)), pa.array(cut, pa.binary())],
-                ["h", "c", "o", "d", "t", "s", "x"],
+                [pa.array(group.view(np.int64)), pa.array((o[entry] - first).astype(np.int32)), *(batch.column(k).take(at) for k in KEY), pa.array((s[entry] + first).astype(np.int32)), pa.array(cut, pa.binary())],
+                ["h", "o", *KEY, "s", "x"],
             )
 
-    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "h long, c long, o int, d long, t long, s int, x binary")
+    return entries.select("h", "o", *KEY, "s", "x").mapInArrow(run, f"h long, o int, {KEY_TYPES}, s int, x binary")
 
 
 def single_windows(entries: DataFrame, window: int) -> DataFrame:
-    """(w, d, t, s): every window of the entries, ``w`` a 128-bit hash of anchor, place and content."""
+    """(h, o, d, t, u, s, x): every window of the entries as an entry of its own; ``h`` is 0, as the bytes tell all."""
 
     def run(batches):
-        for batch in slices(batches, "x", CHUNK >> 3):
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("h", "o", "s")}
+        for batch in slices(batches, "x", CHUNK >> 4):
+            s = batch.column("s").to_numpy(zero_copy_only=False).astype(np.int64)
             x = batch.column("x").to_pylist()
-            entry, place = spread(np.array([len(v) - window + 1 for v in x]))
-            salt = rows["h"][entry], place - rows["o"][entry]
-            found = [hashlib.blake2b(x[i][j : j + window] + a.to_bytes(8, "little", signed=True) + r.to_bytes(8, "little", signed=True), digest_size=16).digest() for i, j, a, r in zip(entry.tolist(), place.tolist(), salt[0].tolist(), salt[1].tolist(), strict=True)]
-            at = pa.array(entry)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("d").take(at), batch.column("t").take(at), pa.array((rows["s"][entry] + place).astype(np.int32))], ["w", "d", "t", "s"])
-
-    return entries.select("h", "o", "d", "t", "s", "x").mapInArrow(run, "w binary, d long, t long, s int")
-
-
-def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """(d, t, spans): the byte ranges to remove from each document that has any."""
-    earliest: Column = F.min(F.struct("d", "t", "s")).alias("first")
-    rows = window_rows(base, window)
-    twice = scratch.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "twice")
-    places = scratch.write(rows.join(twice, "h"), "places")
-    scratch.drop("twice")
-    entries = scratch.write(places.groupBy("h", "c").agg(earliest, F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("o").alias("o")), "entries")
-    copied = entries.where("k > 1").select("h", "c", "first")
-    copies = places.join(copied, ["h", "c"]).where(F.struct("d", "t", "s") != F.col("first")).select("d", "t", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
-    marks = scratch.write(copies, "copies")
-    scratch.drop("places")
-    crowd = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", (F.col("m") > group).alias("many"))
-    crowd = scratch.write(crowd, "crowd")
-    listed = entries.join(crowd, "h").select("first.d", "first.t", F.struct("h", "many", F.col("first.s").alias("s"), "n", "o").alias("entry"))
-    wanted = scratch.write(listed.groupBy(*KEY).agg(F.collect_list("entry").alias("entries")), "wanted")
-    scratch.drop("entries", "crowd")
-    texts = scratch.write(contents(base, wanted, window), "contents")
+            entry, place = spread(np.array([len(v) - window + 1 for v in x], np.int64))
+            at, none = pa.array(entry), np.zeros(len(entry), np.int64)
+            cut = [x[i][j : j + window] for i, j in zip(entry.tolist(), place.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(none), pa.array(none.astype(np.int32)), *(batch.column(k).take(at) for k in KEY), pa.array((s[entry] + place).astype(np.int32)), pa.array(cut, pa.binary())],
+                ["h", "o", *KEY, "s", "x"],
+            )
+
+    return entries.select(*KEY, "s", "x").mapInArrow(run, f"h long, o int, {KEY_TYPES}, s int, x binary")
+
+
+def distinct_entries(entries: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The earliest of all entries with equal bytes (h, o, d, t, u, s, x), and the marks of the others. Equal entries are combined before they are dealt."""
+    place = F.struct(*KEY, "s")
+    same = ["h", "o", "x"]
+    found = scratch.write(entries.groupBy(*same).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")), name)
+    copied = found.where("k > 1").select(*same, "first")
+    marks = entries.join(copied, same).where(place != F.col("first")).select(*KEY, "s", (F.col("s") + F.length("x")).alias("e"))
+    return found.select("h", "o", *(F.col("first").getField(k).alias(k) for k in (*KEY, "s")), "x"), marks
+
+
+def crowded_marks(entries: DataFrame, scratch: Scratch, window: int, group: int, bits: int) -> DataFrame:
+    """Marks of entries whose anchors have more of them than one task should compare."""
+    marks, level = None, entries
+    for name, finer in (("entries", lambda rows: cells(rows, window, bits)), ("cells", lambda rows: single_windows(rows, window)), ("windows", None)):
+        lone, copies = distinct_entries(level, scratch, f"{name}-distinct")
+        marks = copies if marks is None else marks.unionByName(copies)
+        if finer is None:
+            break
+        sizes = scratch.write(lone.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{name}-sizes")
+        few, many = sizes.where(F.col("m") <= group).select("h"), sizes.where(F.col("m") > group).select("h")
+        marks = marks.unionByName(shared_windows(lone.join(few, "h"), window, bits))
+        if not many.limit(1).count():
+            break
+        level = scratch.write(finer(lone.join(many, "h")), f"{name}-cut")
+    return marks
+
+
+def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group: int = GROUP, bits: int = 64) -> DataFrame:
+    """(d, t, u, spans): the byte ranges to remove from each document that has any."""
+    rows = scratch.write(window_rows(base, window, bits), "rows")
+    twice = scratch.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", (F.col("k") > group).alias("many")), "twice")
+    listed = rows.join(twice, "h").select(*KEY, F.struct("h", "many", "s", "n", "o").alias("entry"))
+    wanted = scratch.write(listed.groupBy(*KEY).agg(F.collect_set("entry").alias("entries")), "wanted")
+    scratch.drop("rows", "twice")
+    found = scratch.write(contents(base, wanted, window), "contents")
     scratch.drop("wanted")
-    marks = marks.unionByName(shared_windows(texts.where("not many"), window))
-    if texts.where("many").limit(1).count():
-        small = scratch.write(cells(texts.where("many"), window), "cells")
-        parts = scratch.write(small.groupBy("h", "c").agg(earliest, F.count(F.lit(1)).alias("k"), F.first("o").alias("o"), F.first("x").alias("x")), "parts")
-        again = parts.where("k > 1").select("h", "c", "first")
-        later = small.join(again, ["h", "c"]).where(F.struct("d", "t", "s") != F.col("first"))
-        marks = marks.unionByName(later.select("d", "t", "s", (F.col("s") + F.length("x")).alias("e")))
-        crowd = scratch.write(parts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", (F.col("m") > group).alias("many")), "crowd-2")
-        parts = scratch.write(parts.join(crowd, "h").select("h", "many", "o", "first.d", "first.t", "first.s", "x"), "contents-2")
-        marks = marks.unionByName(shared_windows(parts.where("not many"), window))
-        if parts.where("many").limit(1).count():
-            single = scratch.write(single_windows(parts.where("many"), window), "single")
-            best = single.groupBy("w").agg(earliest, F.count(F.lit(1)).alias("k")).where("k > 1").select("w", "first")
-            best = scratch.write(best, "best")
-            later = single.join(best, "w").where(F.struct("d", "t", "s") != F.col("first"))
-            marks = marks.unionByName(later.select("d", "t", "s", (F.col("s") + window).alias("e")))
-    found = scratch.write(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "marks")
-    scratch.drop("copies", "contents", "cells", "parts", "crowd-2", "contents-2", "single", "best")
-    return found
+    marks = shared_windows(found.where("not many"), window, bits)
+    crowd = found.where("many")
+    if crowd.limit(1).count():
+        marks = marks.unionByName(crowded_marks(crowd.drop("many"), scratch, window, group, bits))
+    spans = scratch.write(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "marks")
+    scratch.keep("marks")
+    return spans
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -293,22 +334,25 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, as_text: bool = False) -> DataFrame:
+SPANS = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, as_text: bool = False, bits: int = 64) -> DataFrame:
     """All rows and columns with ``spans`` (removed byte ranges, maximal) and ``kept`` (the remaining bytes) added.
 
     With ``as_text`` there is ``kept_text`` instead: a cut inside a character leaves a part of it, which is dropped.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    marks = repeat_marks(keyed(docs, doc_id, text), scratch, window, group)
-    others = [c for c in docs.columns if c not in ("spans", "kept", "kept_text")]
-    d, t = document(doc_id, text)
-    tagged = docs.select(*others, d.alias("_d"), t.alias("_t"))
-    joined = tagged.join(marks.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans")), ["_d", "_t"], "left").select(*others, "_spans")
+    marks = repeat_marks(keyed(docs, doc_id, text), scratch, window, group, bits)
+    output = "kept_text" if as_text else "kept"
+    others = [c for c in docs.columns if c not in ("spans", output)]
+    carried = docs.select(*(column(c) for c in others))
+    tagged = docs.select(boxed(carried), column(text).alias("text"), *document(doc_id, text)).join(marks, KEY, "left").select("row", "text", F.col("spans").alias("marked"))
 
     def run(batches):
-        for batch in slices(batches, text):
+        for batch in slices(batches, "text"):
             spans, kept = [], []
-            for raw, marked in zip(text_bytes(batch.column(text)), batch.column("_spans").to_pylist(), strict=True):
+            for raw, marked in zip(text_bytes(batch.column("text")), batch.column("marked").to_pylist(), strict=True):
                 cut = merged(marked)
                 at, parts = 0, []
                 for a, b in cut:
@@ -317,10 +361,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 parts.append(raw[at:])
                 spans.append([{"s": a, "e": b} for a, b in cut])
                 kept.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], [*others, "spans", "kept_text" if as_text else "kept"])
+            result = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), result], ["row", "spans", "result"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return joined.mapInArrow(run, f"{head}, spans array<struct<s:int,e:int>>, {'kept_text string' if as_text else 'kept binary'}")
+    schema = T.StructType([T.StructField("row", carried.schema), T.StructField("spans", SPANS), T.StructField("result", T.StringType() if as_text else T.BinaryType())])
+    return tagged.mapInArrow(run, schema).select(*unboxed(docs, others), "spans", F.col("result").alias(output))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
