@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import sys
 import tempfile
@@ -84,6 +85,11 @@ class Scratch:
         """Drops all tables but these."""
         self.drop(*(self.names - set(names)))
 
+    def sweep(self) -> None:
+        """Lets Spark remove the shuffle files of what has been written; it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.root)
         self.names.clear()

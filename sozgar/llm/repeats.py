@@ -313,14 +313,17 @@ def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group:
     listed = rows.join(twice, "h").select(*KEY, F.struct("h", "many", "s", "n", "o").alias("entry"))
     wanted = scratch.write(listed.groupBy(*KEY).agg(F.collect_set("entry").alias("entries")), "wanted")
     scratch.drop("rows", "twice")
+    scratch.sweep()
     found = scratch.write(contents(base, wanted, window), "contents")
     scratch.drop("wanted")
+    scratch.sweep()
     marks = shared_windows(found.where("not many"), window, bits)
     crowd = found.where("many")
     if crowd.limit(1).count():
         marks = marks.unionByName(crowded_marks(crowd.drop("many"), scratch, window, group, bits))
     spans = scratch.write(marks.groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "marks")
     scratch.keep("marks")
+    scratch.sweep()
     return spans
 
 
