@@ -44,6 +44,8 @@ _GROUP_ODD, _PLACE_ODD = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659
 #: What tells documents apart, in the order in which they count as earlier.
 KEY = ["d", "t", "u"]
 KEY_TYPES = "d long, t long, u long"
+#: An entry's first window, number of windows and anchor's place share one long; so many bits for each of the last two.
+_BITS = 14
 
 
 def document(doc_id: str, text: str) -> list[Column]:
@@ -60,7 +62,9 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def window_rows(base: DataFrame, window: int, bits: int = 64) -> DataFrame:
-    """(h, d, t, u, s, n, o): anchor hash, document, first window, number of windows, anchor's place in the content."""
+    """(h, d, t, u, p): anchor hash, document, and packed in one: first window, number of windows, anchor's place in the content."""
+    if window >= 1 << _BITS:
+        raise ValueError(f"the window must be below {1 << _BITS}")
 
     def run(batches):
         for batch in slices(batches, "text", CHUNK):
@@ -68,12 +72,10 @@ def window_rows(base: DataFrame, window: int, bits: int = 64) -> DataFrame:
             anchor, h, first, last = anchors(buffer, starts, window, bits=bits)
             doc = np.searchsorted(starts, first, "right") - 1
             at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), *(batch.column(k).take(at) for k in KEY), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((anchor - first).astype(np.int32))],
-                ["h", *KEY, "s", "n", "o"],
-            )
+            packed = (first - starts[doc]) << 2 * _BITS | (last - first + 1) << _BITS | (anchor - first)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(batch.column(k).take(at) for k in KEY), pa.array(packed)], ["h", *KEY, "p"])
 
-    return base.select(*KEY, "text").mapInArrow(run, f"h long, {KEY_TYPES}, s int, n int, o int")
+    return base.select(*KEY, "text").mapInArrow(run, f"h long, {KEY_TYPES}, p long")
 
 
 def contents(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -84,14 +86,16 @@ def contents(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             entries = batch.column("entries")
             owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(entries).to_numpy(zero_copy_only=False))
             field = {f.name: v for f, v in zip(entries.type.value_type, entries.flatten().flatten(), strict=True)}
-            s, n = (field[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("s", "n"))
+            p = field["p"].to_numpy(zero_copy_only=False).astype(np.int64)
+            many, low = (p & 1).astype(bool), (1 << _BITS) - 1
+            s, n, o = p >> 2 * _BITS + 1, p >> _BITS + 1 & low, p >> 1 & low
             raw = text_bytes(batch.column("text"))
             for first in range(0, len(owner), 1 << 14):  # entries overlap, so their bytes come in parts
                 cut = slice(first, first + (1 << 14))
                 x = [raw[i][a:b] for i, a, b in zip(owner[cut].tolist(), s[cut].tolist(), (s[cut] + n[cut] + window - 1).tolist(), strict=True)]
                 at, size = pa.array(owner[cut]), len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [field["h"].slice(first, size), field["many"].slice(first, size), field["o"].slice(first, size), *(batch.column(k).take(at) for k in KEY), field["s"].slice(first, size), pa.array(x, pa.binary())],
+                    [field["h"].slice(first, size), pa.array(many[cut]), pa.array(o[cut].astype(np.int32)), *(batch.column(k).take(at) for k in KEY), pa.array(s[cut].astype(np.int32)), pa.array(x, pa.binary())],
                     ["h", "many", "o", *KEY, "s", "x"],
                 )
 
@@ -310,7 +314,8 @@ def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group:
     """(d, t, u, spans): the byte ranges to remove from each document that has any."""
     rows = scratch.write(window_rows(base, window, bits), "rows")
     twice = scratch.write(rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h", (F.col("k") > group).alias("many")), "twice")
-    listed = rows.join(twice, "h").select(*KEY, F.struct("h", "many", "s", "n", "o").alias("entry"))
+    scratch.sweep()
+    listed = rows.join(twice, "h").select(*KEY, F.struct("h", (F.shiftleft("p", 1) + F.col("many").cast("long")).alias("p")).alias("entry"))
     wanted = scratch.write(listed.groupBy(*KEY).agg(F.collect_set("entry").alias("entries")), "wanted")
     scratch.drop("rows", "twice")
     scratch.sweep()
