@@ -150,6 +150,13 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A name that none of the caller's columns bears."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def boxed(df: DataFrame, name: str = "row") -> Column:
     """All columns of the caller's frame in one, so that their names meet no inner names."""
     return F.struct(*(column(c) for c in df.columns)).alias(name) if df.columns else F.lit(None).alias(name)

@@ -24,8 +24,10 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from sozgar.llm.common import bound_batches, slices
+from sozgar.llm.common import bound_batches, boxed, slices, unboxed
+from sozgar.llm.common import column as by_name
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,15 +330,16 @@ def main_text(page: str | None) -> str:
 def extract(df: DataFrame, column: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` (code points) in place of the html column."""
     bound_batches(df.sparkSession)
-    others = [c for c in df.columns if c not in (column, "text", "n_chars")]
+    carried = df.select(*(by_name(c) for c in df.columns if c not in (column, "text", "n_chars")))
+    schema = T.StructType([T.StructField("row", carried.schema), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
-        for batch in slices(batches, column):
-            texts = [main_text(x) for x in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*others, "text", "n_chars"])
+        for batch in slices(batches, "html"):
+            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in others)
-    return df.select(*others, column).mapInArrow(run, f"{head}text string, n_chars long")
+    found = df.select(boxed(carried), by_name(column).alias("html")).mapInArrow(run, schema)
+    return found.select(*unboxed(carried, carried.columns), "text", "n_chars")
 
 
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ what is left of a length beyond the pattern), so the runs are bounded like the h
 
 Defined results: null or empty text is one piece that holds the end id alone; only texts longer than the
 capacity are cut; null ids and repeated rows are packed like any row; an empty table gives an empty
-result; extra columns are ignored by the query.
+result; extra columns are ignored by the query and carried by ``pack``, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sozgar.llm.common import Scratch, slices, text_bytes
-from sozgar.llm.ranking import bucket_of, bucket_totals
+from sozgar.llm.common import Scratch, boxed, column, slices, text_bytes, unboxed
+from sozgar.llm.ranking import bucket_of, bucket_totals, counted_rows, each_copy
 from sozgar.llm.tokenize import encoder
 
 CAPACITY = 4096
@@ -366,7 +367,7 @@ def token_pieces(df: DataFrame, doc_id: str, text: str, tokenizer: str, capacity
 def pack(pieces: DataFrame, length: str, tie: list[str], capacity: int = CAPACITY, work: int = WORK) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``. ``pieces`` should be a written table, as it is read twice; ``tie`` tells rows apart."""
     spark = pieces.sparkSession
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length).count().collect()}  # at most ``capacity`` rows
+    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(column(length)).count().collect()}  # at most ``capacity`` rows
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     runs, first = [], 0
@@ -385,20 +386,23 @@ def pack(pieces: DataFrame, length: str, tie: list[str], capacity: int = CAPACIT
         t = table.value
         keys = t[:, 0] * (1 << 48) + t[:, 1]
         for batch in batches:
-            size, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, "_rank"))
+            size, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "rank"))
             run = t[np.searchsorted(keys, size * (1 << 48) + rank, "right") - 1] if len(t) else np.zeros((0, 5), np.int64)
             turn, within = np.divmod(rank - run[:, 1], np.maximum(run[:, 3], 1))
-            others = [c for c in batch.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(run[:, 2] + turn), pa.array(run[:, 4] + within * size)], [*others, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(run[:, 2] + turn), pa.array(run[:, 4] + within * size)], ["row", "sequence_id", "offset"])
 
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    unit = F.shiftrightunsigned(F.xxhash64(*tie), 11) / F.lit(float(1 << 53))
-    rows = pieces.select(*keep, unit.alias("_unit")).withColumn("_bucket", bucket_of(F.col("_unit"), LENGTH_BUCKETS))
-    totals = bucket_totals(rows, [length], F.lit(0)).select(length, "_bucket", "_rows_before")
-    local = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy("_unit", *tie))
-    ranked = rows.withColumn("_local", local).join(totals, [length, "_bucket"]).select(*keep, (F.col("_rows_before") + F.col("_local") - 1).cast("long").alias("_rank"))
-    schema = pieces.select(*keep, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(place, schema)
+    pieces = pieces.select(*map(column, keep))
+    ties = [column(c) for c in tie]
+    unit = F.shiftrightunsigned(F.xxhash64(*ties), 11) / F.lit(float(1 << 53))
+    rows = pieces.select(boxed(pieces), column(length).cast("long").alias("size"), F.struct(*ties).alias("tie"), unit.alias("unit")).withColumn("bucket", bucket_of(F.col("unit"), LENGTH_BUCKETS))
+    rows = counted_rows(rows)
+    totals = bucket_totals(rows, ["size"], F.col("m")).select("size", "bucket", "amount_before")
+    before = Window.partitionBy("size", "bucket").orderBy("unit", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each_copy(rows.withColumn("local", F.coalesce(F.sum("m").over(before), F.lit(0))).join(totals, ["size", "bucket"]))
+    ranked = ranked.select("row", "size", (F.col("amount_before") + F.col("local") + F.col("copy")).cast("long").alias("rank"))
+    schema = T.StructType([T.StructField("row", pieces.schema), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(place, schema).select(*unboxed(pieces, keep), "sequence_id", "offset")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

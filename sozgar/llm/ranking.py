@@ -24,13 +24,25 @@ def bucket_of(unit: Column, buckets: int = BUCKETS) -> Column:
     return F.least(F.floor(unit * buckets), F.lit(buckets - 1)).cast("int")
 
 
+def counted_rows(df: DataFrame) -> DataFrame:
+    """Each distinct row once, with the number ``m`` of its copies. Copies are combined before they are dealt, so they share no task."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("m"))
+
+
+def each_copy(df: DataFrame, m: str = "m", copy: str = "copy", part: int = 1 << 14) -> DataFrame:
+    """As many rows as ``m`` says, numbered from 0 in ``copy``; sequences are made in parts, so no row grows long."""
+    top = F.col(m) - 1
+    parts = df.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), top, F.lit(part).cast("long"))))
+    return parts.withColumn(copy, F.explode(F.sequence(copy, F.least(top, F.col(copy) + part - 1))))
+
+
 def bucket_totals(df: DataFrame, keys: list[str], amount: Column) -> DataFrame:
-    """Per (keys, _bucket): rows and amount before it and in all buckets of the keys."""
+    """Per (keys, bucket): rows and amount before it and in all buckets of the keys."""
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.sum(amount).alias("_amount"))
-        .withColumns({"_rows_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_amount_before": F.coalesce(F.sum("_amount").over(before), F.lit(0)), "_all_rows": F.sum("_rows").over(by), "_all_amount": F.sum("_amount").over(by)})
-        .drop("_rows", "_amount")
+        df.groupBy(*keys, "bucket")
+        .agg(F.count(F.lit(1)).alias("rows_here"), F.sum(amount).alias("amount_here"))
+        .withColumns({"rows_before": F.coalesce(F.sum("rows_here").over(before), F.lit(0)), "amount_before": F.coalesce(F.sum("amount_here").over(before), F.lit(0)), "all_rows": F.sum("rows_here").over(by), "all_amount": F.sum("amount_here").over(by)})
+        .drop("rows_here", "amount_here")
     )

@@ -6,7 +6,8 @@ mixture of the whole. Cuts at equal positions give shards whose row counts diffe
 
 Defined results: a null source is a stratum of its own; null ids and repeated rows are dealt like any
 row (equal rows are interchangeable); null text counts as no bytes; an empty table gives an empty
-result; extra columns are ignored by the query and carried by the operator.
+result; extra columns, whatever their names, are ignored by the query and carried by the operator (rows are
+compared whole, so map columns are not taken).
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sozgar.llm.common import Scratch
-from sozgar.llm.ranking import BUCKETS, bucket_of, bucket_totals, stratum_of
+from sozgar.llm.common import Scratch, boxed, column, unboxed
+from sozgar.llm.ranking import BUCKETS, bucket_of, bucket_totals, counted_rows, each_copy, stratum_of
 
 
 def seeded_unit(columns: list[Column], seed: int) -> Column:
@@ -26,25 +27,31 @@ def seeded_unit(columns: list[Column], seed: int) -> Column:
 
 
 def interleave(df: DataFrame, source: str, tie: list[str], shards: int, seed: int = 42, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``shard`` and ``slot`` (gapless from 0 in each shard). ``tie``: columns that tell rows apart."""
+    """Adds ``shard`` and ``slot`` (gapless from 0 in each shard). ``tie``: columns that tell rows apart.
+
+    Rows that are equal in all columns are ranked as one row with a number, so however many they do not share a task.
+    """
     scratch = Scratch(df.sparkSession, "interleave")
-    df = df.drop("shard", "slot")
-    unit = seeded_unit([F.col(c) for c in tie], seed)
-    rows = df.withColumns({"_stratum": stratum_of(F.col(source)), "_unit": unit}).withColumn("_bucket", bucket_of(F.col("_unit"), buckets))
-    totals = bucket_totals(rows, ["_stratum"], F.lit(0))
-    local = F.row_number().over(Window.partitionBy("_stratum", "_bucket").orderBy("_unit", *tie))
-    ranked = rows.withColumn("_local", local).join(totals, ["_stratum", "_bucket"])
-    fraction = (F.col("_rows_before") + F.col("_local") - 0.5) / F.col("_all_rows")
-    kept = df.columns
-    ranked = scratch.write(ranked.select(*kept, "_stratum", fraction.alias("_fraction")).withColumn("_bucket", bucket_of(F.col("_fraction"), buckets)), "ranked")
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    df = df.select(*map(column, kept))
+    ties = [column(c) for c in tie]
+    unit = seeded_unit(ties, seed)
+    rows = df.select(boxed(df), stratum_of(column(source)).alias("stratum"), F.struct(*ties).alias("tie"), unit.alias("unit")).withColumn("bucket", bucket_of(F.col("unit"), buckets))
+    rows = scratch.write(counted_rows(rows), "rows")
+    totals = bucket_totals(rows, ["stratum"], F.col("m")).select("stratum", "bucket", "amount_before", "all_amount")
+    before = Window.partitionBy("stratum", "bucket").orderBy("unit", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each_copy(rows.withColumn("local", F.coalesce(F.sum("m").over(before), F.lit(0))).join(totals, ["stratum", "bucket"]))
+    fraction = (F.col("amount_before") + F.col("local") + F.col("copy") + 0.5) / F.col("all_amount")
+    ranked = scratch.write(ranked.select("row", "tie", "stratum", fraction.alias("fraction")).withColumn("bucket", bucket_of(F.col("fraction"), buckets)), "ranked")
+    scratch.drop("rows")
     n = ranked.count()
     totals = bucket_totals(ranked, [], F.lit(0))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_fraction", "_stratum", *tie))
-    placed = ranked.withColumn("_local", local).join(totals.select("_bucket", "_rows_before"), "_bucket")
-    place = F.col("_rows_before") + F.col("_local") - 1
-    placed = placed.withColumns({"_place": place.cast("long"), "shard": F.expr(f"cast(((_rows_before + _local - 1) * {shards}L) div {max(n, 1)}L as int)")})
+    local = F.row_number().over(Window.partitionBy("bucket").orderBy("fraction", "stratum", "tie"))
+    placed = ranked.withColumn("local", local).join(totals.select("bucket", "rows_before"), "bucket")
+    place = F.col("rows_before") + F.col("local") - 1
+    placed = placed.withColumns({"place": place.cast("long"), "shard": F.expr(f"cast(((rows_before + local - 1) * {shards}L) div {max(n, 1)}L as int)")})
     first = F.expr(f"cast((shard * {max(n, 1)}L + {shards - 1}L) div {shards}L as long)")
-    return placed.withColumn("slot", F.col("_place") - first).select(*kept, "shard", "slot")
+    return placed.select(*unboxed(df, kept), "shard", (F.col("place") - first).alias("slot"))
 
 
 def op7_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sozgar.llm.common import bound_batches, held_out, slices, text_bytes
+from sozgar.llm.common import bound_batches, boxed, column, held_out, slices, text_bytes, unboxed
 from sozgar.llm.learning import FOLDS, BoostedTrees, Isotonic, Runner, folds, here, in_tasks, labelled_sample, sigmoid
 from sozgar.llm.words import BLANK, CHUNK, LETTER, LOWER, RunHasher, hash_runs, hash_word, lay, runs
 
@@ -266,14 +267,16 @@ def score(df: DataFrame, model, text: str = "text", output: str = "score") -> Da
     """Adds the model's score of every whole text."""
     bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in df.columns if c != output]
+    carried = df.select(*(column(c) for c in df.columns if c != output))
+    schema = T.StructType([T.StructField("row", carried.schema), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        for batch in slices(batches, text):
-            values = shared.value(text_bytes(batch.column(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(values, pa.float64())], [*others, output])
+        for batch in slices(batches, "text"):
+            values = shared.value(text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(values, pa.float64())], ["row", "score"])
 
-    return df.select(*others).mapInArrow(run, df.select(*others, F.lit(0.0).alias(output)).schema)
+    scored = df.select(boxed(carried), column(text).alias("text")).mapInArrow(run, schema)
+    return scored.select(*unboxed(carried, carried.columns), F.col("score").alias(output))
 
 
 THRESHOLD = 0.3

@@ -5,7 +5,7 @@ DOCUMENTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Names that operators use inside or return; as extra columns they must not disturb.
-CLASHING = ["score", "kept", "spans", "shard", "slot", "piece", "length", "offset", "media", "page", "size", "weight", "copies", "taken", "target", "label", "v", "d", "t", "h", "text_a", "percent", "_bucket_", "rank"]
+CLASHING = ["score", "kept", "spans", "shard", "slot", "piece", "length", "offset", "media", "page", "size", "weight", "copies", "taken", "target", "label", "v", "d", "t", "h", "text_a", "percent", "_bucket_", "rank", "_bucket", "_key", "_stratum", "_unit", "_d", "_t", "_spans", "bucket", "stratum", "unit", "tie", "m", "copy", "row", "u", "s", "e", "x", "a.b", "a`c", "marked", "result", "weight_2", "text_hash_2"]
 
 
 def words(seed: int, n: int) -> str:

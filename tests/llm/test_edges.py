@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from .conftest import edge_rows
 
 from sozgar.llm.queries import QUERIES
@@ -170,15 +171,75 @@ def test_mixing(spark, edge):
     assert sorted((r.doc_id or -1, r.taken) for r in rows) == sorted((r.doc_id or -1, r.taken) for r in run(spark, "op10_mix", edge[0]))
 
 
-def test_outputs_replace_columns_of_their_names(spark, edge):
+def test_callers_columns_come_back_as_they_were(spark, edge):
+    """Whatever the extra columns are called (inner names, names with dots), they are carried; only outputs replace columns of their names."""
+    from sozgar.llm.html import extract
     from sozgar.llm.mixing import measured, mix_rows
     from sozgar.llm.packing import pack
+    from sozgar.llm.repeats import without_repeats
     from sozgar.llm.sharding import interleave
 
     docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
+    n = docs.count()
+
+    def carried(result, *outputs, source=docs):
+        extra = [c for c in source.columns if c not in {"doc_id", "text", "lang", "source", "n_chars", *outputs}]
+        names = [f"`{c.replace('`', '``')}`" for c in extra]
+        assert set(result.columns) == set(source.columns) | set(outputs) and len(result.columns) == len(set(result.columns))
+        assert result.select(*names).distinct().collect() == source.select(*names).distinct().collect() and result.count() == n
+
     dealt = interleave(docs, "source", ["doc_id", "text"], 3)
-    assert sorted(dealt.columns) == sorted(docs.columns) and dealt.agg({"shard": "max"}).first()[0] == 2
-    mixed = mix_rows(measured(docs), "doc_id", "size", "weight", "source")
-    assert set(mixed.columns) == set(docs.columns) | {"source_size"} and mixed.count() == docs.count()
-    packed = pack(docs.drop("length", "offset").selectExpr("*", "7 AS length", "0 AS offset"), "length", ["doc_id", "text"], 10)
-    assert packed.select("sequence_id").distinct().count() == docs.count() and packed.columns.count("offset") == 1
+    carried(dealt, "shard", "slot")
+    assert dealt.agg({"shard": "max"}).first()[0] == 2
+    sized = measured(docs)
+    carried(mix_rows(sized, "doc_id", "size", "weight", "source", "text_hash"), "source_size", "target", "copies", "taken", "size", "weight", "text_hash", source=sized)
+    pieces = docs.drop("length", "offset").selectExpr("*", "7 AS length", "0 AS offset")
+    packed = pack(pieces, "length", ["doc_id", "text"], 10)
+    carried(packed, "sequence_id", "offset", source=pieces)
+    assert packed.select("sequence_id").distinct().count() == n
+    carried(without_repeats(docs), "spans", "kept")
+    carried(without_repeats(docs, as_text=True), "spans", "kept_text")
+    page = docs.withColumn("html", F.lit("<p>x</p>")).drop("text", "n_chars")
+    carried(extract(page).drop("html"), "text", "n_chars", source=page.drop("html"))
+
+
+def test_many_equal_rows(spark):
+    """Equal rows share no task and each counts: sharding, mixing and packing of one row that stands 3000 times."""
+    from sozgar.llm.mixing import measured, mix_rows
+    from sozgar.llm.packing import pack
+    from sozgar.llm.sharding import interleave
+
+    rows = [(None, "one two three", "a", 5)] * 3000 + [(i, f"w{i} " * (i % 9), "b", i % 9 + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, length int")
+    dealt = interleave(df, "source", ["doc_id", "text"], 7).collect()
+    slots = defaultdict(list)
+    for r in dealt:
+        slots[r.shard].append(r.slot)
+    assert len(dealt) == 3200 and all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(abs(sum(r.source == "b" for r in dealt if r.shard == k) - 200 / 7) < 2 for k in range(7))
+    mixed = mix_rows(measured(df), "doc_id", "size", "weight", "source", "text_hash").collect()
+    assert len(mixed) == 3200
+    for name in ("a", "b"):
+        mine = [r for r in mixed if r.source == name]
+        assert sum(r.size for r in mine) == mine[0].source_size
+        assert 0 <= mine[0].target - sum(r.taken for r in mine) <= 8 and all(r.taken <= 3 * r.size for r in mine)
+    packed = pack(df, "length", ["doc_id", "text"], 16).collect()
+    held = defaultdict(list)
+    for r in packed:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        assert [o for o, _ in sorted(parts)] == [sum(x for _, x in sorted(parts)[:k]) for k in range(len(parts))] and sum(x for _, x in parts) <= 16
+    assert len(packed) == 3200
+
+
+def test_release_removes_scratch_tables(spark, edge):
+    import os
+
+    from sozgar.llm.common import release, shared_dir
+    from sozgar.llm.neardup import near_duplicates
+
+    near_duplicates(spark.read.parquet(f"{edge[0]}/documents.parquet").select("doc_id", "text")).collect()
+    folder = shared_dir(spark).removeprefix("file:")
+    assert [x for x in os.listdir(folder) if x.startswith("neardup-")]
+    release(spark)
+    assert not [x for x in os.listdir(folder) if x.startswith("neardup-")]
