@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a
 frame that is written as Parquet and read again for the next. All but the last return the columns of
 ``documents``. Rows with null ids or texts pass every stage under the operators' own rules; an empty
-table passes through empty; columns beyond those of ``documents`` are dropped by the first stage.
+table passes through empty; columns beyond those of ``documents`` are dropped by the first stage. Repeated
+rows: of rows with one id (or none) and one text, near_dedup keeps one; every other stage works on each row.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sozgar.llm.common import Scratch
-from sozgar.llm.mixing import measured, mix_rows
+from sozgar.llm.mixing import measured, mixed
 from sozgar.llm.neardup import near_duplicates
 from sozgar.llm.packing import packed_documents, tokenizer_path
-from sozgar.llm.repeats import without_repeats
+from sozgar.llm.ranking import each_copy
+from sozgar.llm.repeats import KEY, document, without_repeats
 from sozgar.llm.toxicity import THRESHOLD, score, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,11 +33,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of documents with a similarity of ``SIMILAR`` percent or more."""
+    """Keeps one document of each class of documents with a similarity of ``SIMILAR`` percent or more: the one with the smallest id.
+
+    Of rows that share an id, or have none, and have equal texts one stays (which one, the other columns tell).
+    """
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs, link=SIMILAR).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, link=SIMILAR).where(~F.col("kept")).select("doc_id").distinct()
     # Only ids that must go are joined; rows with a null id match none of them and stay.
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    keys = document("doc_id", "text")
+    again = docs.select(*keys).groupBy(*KEY).count().where("count > 1").limit(1).count()
+    return rest.select("*", *keys).groupBy(*KEY).agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row")).select(*(F.col("row").getField(c).alias(c) for c in COLUMNS)) if again else rest
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +56,17 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mixture takes it; what it does not take goes."""
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
-    rows = Scratch(spark, "pipeline-mix").write(measured(docs.select("_row", "doc_id", "source", "text")).drop("text"), "sizes")
-    taken = mix_rows(rows, "doc_id", "size", "weight", "source").groupBy("_row").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
-    return docs.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeats each document as often as the mixture takes it; what it does not take goes. Of equal rows each counts."""
+    docs = docs.select(*COLUMNS)
+    # A null is told from an empty text, and a null id from any id, so only rows that are equal in all columns share a mark.
+    nulls = F.concat(*(F.col(c).isNull().cast("int").cast("string") for c in COLUMNS))
+    marked = docs.withColumns({"mark": F.xxhash64(*COLUMNS, nulls), "mark_2": F.xxhash64(F.lit(1), *COLUMNS, nulls)})
+    marks = ["mark", "mark_2"]
+    rows = Scratch(spark, "pipeline-mix").write(measured(marked).select(*marks, "doc_id", "source", "size", "weight", "text_hash"), "sizes")
+    taken = mixed(rows, "doc_id", "size", "weight", "source", "text_hash")
+    taken = taken.select(*(F.col("row").getField(c).alias(c) for c in marks), "m", (F.col("m") * F.col("epochs") + F.col("chosen")).alias("copies")).where("copies > 0")
+    once = marked.dropDuplicates(marks) if taken.where("m > 1").limit(1).count() else marked
+    return each_copy(once.join(taken.select(*marks, F.col("copies").alias("m")), marks)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
