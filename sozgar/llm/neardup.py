@@ -179,9 +179,10 @@ def family_links(members: DataFrame, texts: DataFrame, width: int = SHINGLE, lin
 def links(rows: DataFrame, docs: DataFrame, scratch: Scratch, width: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(a, b): confirmed links that connect distinct sets as all links do. ``rows``: (v, n_shingles, sketch) of one document per set; ``docs``: (v, text)."""
     floor = family_floor(link)
-    keyed = bands(rows)
+    keyed = scratch.write(bands(rows), "bands")
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     open_ = scratch.write(keyed.join(crowded, "key"), "buckets")
+    scratch.drop("bands")
     involved = open_.select("v").distinct()
     texts = scratch.write(docs.join(involved, "v", "left_semi").dropDuplicates(["v"]), "texts")
     known = []
@@ -221,6 +222,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Equal sets link their members to the smallest; where an id has several sets these links join them.
     equal = some.select("set_hash", F.col(doc_id).alias("b")).join(classes.where("n > 1").select("set_hash", F.col("v").alias("a")), "set_hash").where("a <> b").select("a", "b")
     labels = components(found.unionByName(equal), scratch, "classes-cc")
+    scratch.keep("signed", *(n for n in scratch.names if n.startswith("classes-cc-")))
+    scratch.sweep()
     kept = signed.join(labels.withColumnRenamed("v", doc_id), doc_id, "left")
     component: Column = F.coalesce("label", doc_id)
     return kept.select(doc_id, "n_shingles", component.alias("component_id"), F.coalesce(F.col(doc_id) == component, F.lit(True)).alias("kept"))

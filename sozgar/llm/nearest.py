@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES, TILE = 512, 1024, 2048
+TILE = 2048
+#: Bytes of vectors in a block, and the most and least candidates and the most queries in one.
+BLOCK_BYTES, MOST, LEAST, QUERIES = 16 << 20, 32_768, 1024, 1024
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,14 +89,27 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(broken, F.lit(True)) & F.exists(v, lambda x: x != 0.0)
 
 
-def nearest(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows with the largest cosine for each row where ``is_query`` holds."""
+def block_counts(n: int, q: int, dim: int, tasks: int) -> tuple[int, int]:
+    """How many blocks of candidates and of queries: as few as memory allows, as each copies the other side, but enough for all tasks."""
+    room = max(64, BLOCK_BYTES // (8 * max(dim, 1)))
+    wide = -(-n // LEAST)
+    return max(1, -(-n // min(MOST, room)), min(wide, 2 * tasks)), max(1, -(-q // min(QUERIES, room)))
+
+
+def nearest(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows with the largest cosine for each row where ``is_query`` holds.
+
+    Vectors travel in their own type. Each task returns ``k`` rows a query; of these the best are kept before the shuffle
+    and after it. ``blocks``: numbers of blocks of candidates and queries, else from the sizes.
+    """
+    spark = df.sparkSession
+    kind = "array<float>" if df.select(vector).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
     rows = df.where(usable(F.col(vector)) & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q")
+        F.col(vec_id).cast("long").alias("_id"), F.col(vector).cast(kind).alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q")
     )
     rows = rows.withColumn("_dim", F.size("_v"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q")).first()
-    blocks, query_blocks = max(1, -(-sizes.n // candidates)), max(1, -(-sizes.q // queries))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q"), F.max("_dim").alias("dim")).first()
+    blocks, query_blocks = blocks or block_counts(sizes.n, sizes.q, sizes.dim or 1, spark.sparkContext.defaultParallelism)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
     left = rows.select("_id", "_v", "_dim", place(blocks).alias("_c"), numbers(query_blocks).alias("_b"))
