@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping; nothing is collected."""
+"""Connected components of an edge table by contraction to local minima; nothing is collected."""
 
 from __future__ import annotations
 
@@ -8,25 +8,46 @@ from pyspark.sql import functions as F
 from sozgar.llm.common import Scratch
 
 
+def _downward(a, b) -> list:
+    """An edge from its greater to its smaller vertex."""
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(v, label) for every vertex of the edges (a, b): the label is the smallest vertex that can be reached.
 
-    In each round a vertex takes the smallest label among its own and its neighbours', then the label of
-    that vertex. Labels only fall, so it ends; stars need two rounds, chains a logarithmic number.
+    In each round a vertex points to its smallest neighbour below it, pointers are followed to their ends (doubling
+    each time), and the edges are drawn between the ends. Ends are local minima, so each round at least halves the
+    vertices that still have edges: the rounds, and the doublings in each, are logarithmic, and the edges of all
+    rounds together few. The smallest vertex of a component never moves, so it is the end of all.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = scratch.write(both, f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), f"{name}-0")
-    k = 0
+    links = scratch.write(edges.where("a <> b").select(*_downward(F.col("a"), F.col("b"))).distinct(), f"{name}-edges-0")
+    labels, k = None, 0
     while True:
+        ends = scratch.write(links.groupBy("a").agg(F.min("b").alias("end")), f"{name}-ends-{k}-0")
+        step, moved = 0, True
+        while moved:
+            further = ends.select(F.col("a").alias("end"), F.col("end").alias("further"))
+            step += 1
+            ends = scratch.write(ends.join(further, "end", "left").select("a", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), f"{name}-ends-{k}-{step}")
+            moved = bool(ends.where("moved").limit(1).count())
+            ends = ends.select("a", "end")
+            scratch.drop(f"{name}-ends-{k}-{step - 1}")
+        if labels is None:
+            found = ends.select(F.col("a").alias("v"), F.col("end").alias("label"))
+        else:
+            now = labels.join(ends.select(F.col("a").alias("label"), "end"), "label", "left").select("v", F.coalesce("end", "label").alias("label"))
+            found = now.unionByName(ends.select(F.col("a").alias("v"), F.col("end").alias("label")))
+        labels = scratch.write(found, f"{name}-labels-{k}")
+        above = links.join(ends, "a").select(F.col("end").alias("x"), "b")
+        both = above.join(ends.select(F.col("a").alias("b"), F.col("end").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
+        links = scratch.write(both.where("x <> y").select(*_downward(F.col("x"), F.col("y"))).distinct(), f"{name}-edges-{k + 1}")
+        scratch.drop(f"{name}-edges-{k}", f"{name}-ends-{k}-{step}", f"{name}-labels-{k - 1}")
         k += 1
-        heard = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("heard"))
-        taken = labels.join(heard, labels.v == heard.a, "left").select("v", F.col("label").alias("was"), F.least("label", F.coalesce("heard", "label")).alias("now"))
-        jump = labels.select(F.col("v").alias("now"), F.col("label").alias("further"))
-        labels = scratch.write(taken.join(jump, "now").select("v", F.least("now", "further").alias("label"), (F.least("now", "further") < F.col("was")).alias("moved")), f"{name}-{k}")
-        moved = labels.where("moved").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
-        labels = labels.select("v", "label")
-        if not moved:
-            scratch.drop(f"{name}-edges")
-            return labels
+        if not links.limit(1).count():
+            break
+    scratch.drop(f"{name}-edges-{k}")
+    roots = labels.select(F.col("label").alias("v"), "label").distinct()
+    done = scratch.write(labels.unionByName(roots), f"{name}-done")
+    scratch.drop(f"{name}-labels-{k - 1}")
+    return done

@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Equal sets link their members to the smallest; where an id has several sets these links join them.
     equal = some.select("set_hash", F.col(doc_id).alias("b")).join(classes.where("n > 1").select("set_hash", F.col("v").alias("a")), "set_hash").where("a <> b").select("a", "b")
     labels = components(found.unionByName(equal), scratch, "classes-cc")
-    scratch.keep("signed", *(n for n in scratch.names if n.startswith("classes-cc-")))
+    scratch.keep("signed", "classes-cc-done")
     scratch.sweep()
     kept = signed.join(labels.withColumnRenamed("v", doc_id), doc_id, "left")
     component: Column = F.coalesce("label", doc_id)

@@ -265,3 +265,26 @@ def test_word_encoder_matches_the_tokenizer():
     for _ in range(2):
         assert encoder.ids([t.encode() for t in texts]) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert zlib.crc32(b"") == 0
+
+
+def test_components(spark):
+    from sozgar.llm.common import Scratch
+    from sozgar.llm.components import components
+
+    r = random.Random(6)
+    path = list(range(1000, 1400))
+    r.shuffle(path)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + list(zip(path, path[1:], strict=False)) + [(k, k + 1) for k in range(2000, 2300)] + [(5000 + k, 5000) for k in range(200)] + [(7, 7)]
+    root = {v: v for e in edges for v in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    found = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    assert sorted((x.v, x.label) for x in found) == sorted((v, find(v)) for v in root)
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).collect() == []
