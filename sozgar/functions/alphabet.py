@@ -31,16 +31,21 @@ MIN_STEM, MIN_DIRECT_FREQ, MIN_STEM_FREQ, MAX_DISTANCE, AUTONOMOUS_FREQ = 3, 5,
 VOWELS = "aeiouʻ"
 
 
-def suffixes() -> list[str]:
-    """The 66 suffixes from their paradigms (plural, possessive, case), longest first."""
-    possessive, case = ("im", "ing", "imiz", "ingiz"), ("ning", "dan", "ga", "ni", "da", "")
-    forms = {f"{plural}{p}{c}" for plural in ("lar", "") for p in possessive for c in case}
-    forms |= {"lari" + c for c in ("dagi", "dan", "ga", "ni")} | {"lar" + c for c in ("dagi", "dan", "ga", "ni", "da")}
-    forms |= {"dagi", "ning", "dan", "idan", "ga", "da", "ni", "lar", "i"}
-    return sorted(forms, key=lambda s: (-len(s), s))
-
-
-SUFFIXES = suffixes()
+# The 66 suffixes, longest first, equal lengths by alphabet.
+SUFFIXES: list[str] = [
+    "laringizning",
+    "larimizning", "laringizdan",
+    "larimizdan", "laringizda", "laringizga", "laringizni", "laringning",
+    "ingizning", "larimizda", "larimizga", "larimizni", "larimning", "laringdan",
+    "imizning", "ingizdan", "laridagi", "larimdan", "laringda", "laringga", "laringiz", "laringni",
+    "imizdan", "ingizda", "ingizga", "ingizni", "ingning", "lardagi", "laridan", "larimda", "larimga", "larimiz", "larimni",
+    "imizda", "imizga", "imizni", "imning", "ingdan", "lardan", "lariga", "laring", "larini",
+    "imdan", "ingda", "ingga", "ingiz", "ingni", "larda", "larga", "larim", "larni",
+    "dagi", "idan", "imda", "imga", "imiz", "imni", "ning",
+    "dan", "ing", "lar",
+    "da", "ga", "im", "ni",
+    "i",
+]
 LONGEST_SUFFIX = len(SUFFIXES[0])
 
 # Word lists of the corpus jobs.

@@ -107,10 +107,19 @@ def law_links(html: Column | str, base: str) -> Column:
     return links(html, r"/uz/docs/-?\d+", base)
 
 
+#: Steps that undo wiki markup, in order: comments, references, tables, files, templates from the inside out, links, emphasis,
+#: tags, and at the end headings and addresses (a reference's closing tag may follow an address).
+WIKI_STEPS = [
+    (r"(?s)<!--.*?-->", ""), (r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"(?s)\{\|.*?\|\}", ""), (r"(?i)\[\[File:[^\]]+\]\]", " "),
+    *[(r"\{\{[^{}]*\}\}", "")] * 8,
+    (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"), (r"\[\S+ ([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"</?[a-zA-Z][^>]*>", ""), (r"={2,}[^=]+=+", " "), (r"(?i)http\S+", " "),
+]
+
+
 def wiki_text(markup: Column | str) -> Column:
-    """Plain text of wiki markup: templates, tables, references, tags and links are undone step by step, then headings, addresses and files."""
-    out = F.regexp_replace(col(markup), r"(?i)={2,}[^=]+=+|http\S+|\[\[File:[^\]]+\]\]", " ")
-    for pattern, by in ((r"(?s)<!--.*?-->", ""), (r"(?is)<ref[^>/]*/>", ""), (r"(?is)<ref[^>]*>.*?</ref>", ""), (r"(?s)\{\|.*?\|\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\{\{[^{}]*\}\}", ""), (r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1"), (r"\[\S+ ([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"</?[a-zA-Z][^>]*>", "")):
+    """Plain text of wiki markup by ``WIKI_STEPS``; templates may nest eight deep."""
+    out = col(markup)
+    for pattern, by in WIKI_STEPS:
         out = F.regexp_replace(out, pattern, by)
     return out
 

@@ -55,14 +55,38 @@ def similar_by_length(left: DataFrame, right: DataFrame, a: str, b: str, most: i
     return spread.join(other, ["_first", "_size"]).drop("_first", "_size").where(within(F.col(a), F.col(b), most))
 
 
+#: Up to so many words the blocked join is taken, which needs no deletions of the whole dictionary.
+FEW = 1000
+
+
+def similar_by_count(left: DataFrame, right: DataFrame, a: str, b: str, most: int) -> DataFrame:
+    """The same pairs by the join that suits the number of words on the left, which is counted up to ``FEW`` first."""
+    least = FEW if most > 1 else 8 * FEW  # one edit leaves fewer lengths and fewer words in each block
+    few = left.limit(least + 1).count() <= least
+    return (similar_by_length if few else similar)(left, right, a, b, most)
+
+
 class SpellChecker:
-    """Checks against a dictionary (word, freq). ``join``: 'deletions' (any amount of words) or 'lengths' (few)."""
+    """Checks against a dictionary (word, freq). ``join``: 'deletions' (any amount of words), 'lengths' (few), or 'auto', which counts them.
+
+    With ``persist`` the dictionary is kept until ``close``, or the end of a ``with`` block.
+    """
 
     def __init__(self, entries: DataFrame, join: str = "deletions", persist: bool = False):
         self.dictionary = normalised(entries).where(F.length("word") > 0)
         if persist:
             self.dictionary = self.dictionary.persist()
-        self._similar = {"deletions": similar, "lengths": similar_by_length}[join]
+        self._similar = {"deletions": similar, "lengths": similar_by_length, "auto": similar_by_count}[join]
+
+    def close(self) -> None:
+        """Gives the kept dictionary back; frames made before read their sources again."""
+        self.dictionary.unpersist()
+
+    def __enter__(self) -> SpellChecker:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def spark(self) -> SparkSession:

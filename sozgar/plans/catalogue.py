@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sozgar.functions import forms, texts, tokens, translit
+from sozgar.functions import batch, forms, texts, tokens, translit
 from sozgar.functions.alphabet import ENGLISH_STOP, FUNCTION_WORDS, INTERFACE_WORDS, TELLING_SUFFIXES
 from sozgar.functions.sql import register
 from sozgar.operators import dictionary, evaluation, service
@@ -48,7 +48,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checker(spark: SparkSession, sf_dir: str) -> SpellChecker:
-    return SpellChecker(entries(spark, sf_dir), persist=True)
+    return SpellChecker(entries(spark, sf_dir), join="auto", persist=True)
 
 
 def token_rows(df: DataFrame) -> DataFrame:
@@ -263,9 +263,22 @@ def html_listing(spark, sf_dir):
     return listing(pages, "links", "page_id", 50)
 
 
-@query()
+_MARKED = "'{{x|{{y|{{z}}}}}} ' || coalesce(text, '') || '<ref name=n>http://a.uz/b</ref> [[a|b]] [http://c.uz d] [[File:f.png|thumb|e]] http://e.uz/f' || chr(10) || '== g ==' || chr(10)"
+
+
+def _wiki_sql(source: str) -> str:
+    out = "text"
+    for pattern, by in tokens.WIKI_STEPS:
+        out = f"regexp_replace({out}, {oracle.text(pattern)}, {oracle.text(by.replace('$1', chr(92) + '1'))}, 'g')"
+    return f"SELECT id, {out} AS text FROM ({source})"
+
+
+@query(_wiki_sql(f"SELECT id, text FROM {fixtures.values(fixtures.WIKI, 'id, text')} UNION ALL SELECT doc_id + 1000 AS id, {_MARKED} AS text FROM documents"))
 def wiki_strip(spark, sf_dir):
-    return fixtures.table(spark, fixtures.WIKI, "id long, text string").select("id", tokens.wiki_text("text").alias("text"))
+    """Inline markup, and every document inside markup."""
+    marked = F.concat(F.lit("{{x|{{y|{{z}}}}}} '''"), F.coalesce("text", F.lit("")), F.lit("'''<ref name=n>http://a.uz/b</ref> [[a|b]] [http://c.uz d] [[File:f.png|thumb|e]] http://e.uz/f\n== g ==\n"))
+    rows = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), marked.alias("text"))
+    return fixtures.table(spark, fixtures.WIKI, "id long, text string").unionByName(rows).select("id", tokens.wiki_text("text").alias("text"))
 
 
 # --- word forms ----------------------------------------------------------------------------------
@@ -335,7 +348,7 @@ def weighted_distances(spark, sf_dir):
     words = entries(spark, sf_dir)
     doubled = words.select(F.col("word").alias("a"), F.coalesce(forms.double_vowel_typo("word"), "word").alias("b"))
     swapped = words.select(F.col("word").alias("a"), forms.phonetic_typo("word").alias("b")).where("b IS NOT NULL")
-    return inline.unionByName(doubled).unionByName(swapped).select("a", "b", forms.weighted_distance("a", "b").alias("distance"))
+    return inline.unionByName(doubled).unionByName(swapped).select("a", "b", (batch.weighted_tenths("a", "b") / 10.0).alias("distance"))
 
 
 # --- checking ------------------------------------------------------------------------------------

@@ -144,8 +144,10 @@ class WebPages(DataSource):
 
 
 def read_xz_lines(spark: SparkSession, *paths: str, most: int = 500_000) -> DataFrame:
+    """At most ``most`` non-blank lines; 0 for all."""
     spark.dataSource.register(XzLines)
-    return spark.read.format("xz_lines").option("most", most).load(",".join(paths)).limit(most)
+    lines = spark.read.format("xz_lines").option("most", most).load(",".join(paths))
+    return lines.limit(most) if most else lines
 
 
 def fetch(spark: SparkSession, urls: list[str]) -> DataFrame:

@@ -134,6 +134,9 @@ def test_small_texts(spark):
     assert apply(spark, texts.without_menus, ["File Edit\nMatn\n\n\n\nyana"]) == ["Edit\nMatn\n\nyana"]
     assert apply(spark, lambda x: texts.longest(F.split(x, ",")), ["a,bbb,ccc", ""]) == ["bbb", ""]
     assert apply(spark, tokens.wiki_text, ["'''A''' [[B|c]] {{d}} [[E]]<ref>x</ref>"]) == ["A c  E"]
+    lost = "Toshkent shahri<ref>http://a.uz/b</ref>poytaxt. Matn birinchi. Ikkinchi gap<ref name=x>kitob</ref> oxiri."
+    nested = "a{{b|{{c|{{d|{{e}}}}}}}}f"
+    assert apply(spark, tokens.wiki_text, [lost, nested]) == ["Toshkent shahripoytaxt. Matn birinchi. Ikkinchi gap oxiri.", "af"]
 
 
 def test_replies(spark):
