@@ -1,6 +1,6 @@
 """Registered queries of the text engine and their DuckDB counterparts.
 
-Every query reads its whole tables. Arrays are flattened in results, so both engines compare scalars.
+Queries on tables read them whole; some of single functions read inline rows alone (see the README). Arrays are flattened in results, so both engines compare scalars.
 The dictionary of the checking queries is counted from ``documents`` (words seen three times or more).
 """
 
