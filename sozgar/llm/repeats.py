@@ -22,6 +22,8 @@ their names, are ignored by the query and carried by ``without_repeats``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sozgar.llm.anchors import anchors
-from sozgar.llm.common import Scratch, boxed, column, mix64, slices, text_bytes, unboxed
+from sozgar.llm.common import Scratch, boxed, column, mix64, slices, text_bytes
 from sozgar.llm.suffixes import suffix_array
 from sozgar.llm.words import CHUNK, RunHasher, lay
 
@@ -294,20 +296,29 @@ def distinct_entries(entries: DataFrame, scratch: Scratch, name: str) -> tuple[D
 
 
 def crowded_marks(entries: DataFrame, scratch: Scratch, window: int, group: int, bits: int) -> DataFrame:
-    """Marks of entries whose anchors have more of them than one task should compare."""
-    marks, level = None, entries
+    """Marks of entries whose anchors have more of them than one task should compare.
+
+    Each step's marks are written at once, so that its shuffle files and tables go before the next step's come.
+    """
+    parts, level, before = [], entries, []
     for name, finer in (("entries", lambda rows: cells(rows, window, bits)), ("cells", lambda rows: single_windows(rows, window)), ("windows", None)):
         lone, copies = distinct_entries(level, scratch, f"{name}-distinct")
-        marks = copies if marks is None else marks.unionByName(copies)
+        scratch.sweep()
+        parts.append(scratch.write(copies, f"{name}-copies"))
+        scratch.drop(*before)
+        scratch.sweep()
         if finer is None:
             break
         sizes = scratch.write(lone.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), f"{name}-sizes")
         few, many = sizes.where(F.col("m") <= group).select("h"), sizes.where(F.col("m") > group).select("h")
-        marks = marks.unionByName(shared_windows(lone.join(few, "h"), window, bits))
+        parts.append(scratch.write(shared_windows(lone.join(few, "h"), window, bits), f"{name}-few"))
+        scratch.sweep()
         if not many.limit(1).count():
             break
-        level = scratch.write(finer(lone.join(many, "h")), f"{name}-cut")
-    return marks
+        level, before = scratch.write(finer(lone.join(many, "h")), f"{name}-cut"), [f"{name}-cut"]
+        scratch.drop(f"{name}-distinct", f"{name}-sizes")
+        scratch.sweep()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group: int = GROUP, bits: int = 64) -> DataFrame:
@@ -322,7 +333,8 @@ def repeat_marks(base: DataFrame, scratch: Scratch, window: int = WINDOW, group:
     found = scratch.write(contents(base, wanted, window), "contents")
     scratch.drop("wanted")
     scratch.sweep()
-    marks = shared_windows(found.where("not many"), window, bits)
+    marks = scratch.write(shared_windows(found.where("not many"), window, bits), "few")
+    scratch.sweep()
     crowd = found.where("many")
     if crowd.limit(1).count():
         marks = marks.unionByName(crowded_marks(crowd.drop("many"), scratch, window, group, bits))
@@ -354,7 +366,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = repeat_marks(keyed(docs, doc_id, text), scratch, window, group, bits)
     output = "kept_text" if as_text else "kept"
     others = [c for c in docs.columns if c not in ("spans", output)]
-    carried = docs.select(*(column(c) for c in others))
+    carried = docs.select(*(column(c) for c in others if c != text))  # the text travels once, beside the box
     tagged = docs.select(boxed(carried), column(text).alias("text"), *document(doc_id, text)).join(marks, KEY, "left").select("row", "text", F.col("spans").alias("marked"))
 
     def run(batches):
@@ -370,10 +382,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 spans.append([{"s": a, "e": b} for a, b in cut])
                 kept.append(b"".join(parts))
             result = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), result], ["row", "spans", "result"])
+            spans = pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), spans, result], ["row", "text", "spans", "result"])
 
-    schema = T.StructType([T.StructField("row", carried.schema), T.StructField("spans", SPANS), T.StructField("result", T.StringType() if as_text else T.BinaryType())])
-    return tagged.mapInArrow(run, schema).select(*unboxed(docs, others), "spans", F.col("result").alias(output))
+    schema = T.StructType([T.StructField("row", carried.schema), tagged.schema["text"], T.StructField("spans", SPANS), T.StructField("result", T.StringType() if as_text else T.BinaryType())])
+    columns = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in others]
+    return tagged.mapInArrow(run, schema).select(*columns, "spans", F.col("result").alias(output))
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
