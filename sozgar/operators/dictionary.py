@@ -58,7 +58,7 @@ def bottom(entries: DataFrame, n: int) -> DataFrame:
 
 def review_sample(entries: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` entries in an order that the seed fixes."""
-    return entries.orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(n)
+    return entries.orderBy(F.md5(F.concat(F.lit(f"{seed} "), "word")), "word").limit(n)
 
 
 def split_suffixes(words: DataFrame, column: str = "word") -> DataFrame:

@@ -1,11 +1,13 @@
 """Registered queries of the text engine and their DuckDB counterparts.
 
-Queries on tables read them whole; some of single functions read inline rows alone (see the README). Arrays are flattened in results, so both engines compare scalars.
+Queries read their tables whole, some together with inline rows. Arrays are flattened in results, so both engines compare scalars.
 The dictionary of the checking queries is counted from ``documents`` (words seen three times or more).
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ from sozgar.operators import dictionary, evaluation, service
 from sozgar.operators.spelling import SpellChecker, similar, similar_by_length
 from sozgar.plans import fixtures, oracle
 from sozgar.plans.oracle import DICT, TOKENS, counted, flag, maybe, mixed, spans, stems, stripped, suggested, tenths, transliterated
+from sozgar.sources import readers, writers
 from sozgar.streaming.checks import debounced, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +142,7 @@ def corpus_statistics(spark, sf_dir):
     return dictionary.corpus_statistics(words, dictionary.roots(words))
 
 
-@query()
+@query(f"SELECT word, freq FROM ({counted('documents', 3)}) ORDER BY md5('42 ' || word), word LIMIT 25")
 def dict_review_sample(spark, sf_dir):
     return dictionary.review_sample(entries(spark, sf_dir), 25)
 
@@ -147,11 +150,19 @@ def dict_review_sample(spark, sf_dir):
 # --- script --------------------------------------------------------------------------------------
 
 _SENTENCES = fixtures.values(list(enumerate(fixtures.SENTENCES)), "id, text")
+_SCRIPTS = f"(SELECT id::BIGINT AS id, text FROM {_SENTENCES} UNION ALL SELECT 1000 + 3 * doc_id + k AS id, CASE k WHEN 0 THEN text WHEN 1 THEN {oracle.cyrillic('text')} ELSE text || ' ' || {oracle.cyrillic('text')} END AS text FROM documents, range(0, 3) AS _k(k))"
 
 
-@query(f"SELECT id::BIGINT AS id, {transliterated('text')} AS latin FROM {_SENTENCES}")
+def _scripts(spark, sf_dir) -> DataFrame:
+    """The inline sentences, and every document as it is, in Cyrillic letters and both one after the other."""
+    back = translit.latin_to_cyrillic("text")
+    forms_of = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array("text", back, F.concat("text", F.lit(" "), back))).alias("k", "text"))
+    return fixtures.sentences(spark).unionByName(forms_of.select((1000 + 3 * F.col("doc_id") + F.col("k")).alias("id"), "text"))
+
+
+@query(f"SELECT id, {transliterated('text')} AS latin FROM {_SCRIPTS}")
 def translit_sentences(spark, sf_dir):
-    return fixtures.sentences(spark).select("id", translit.transliterate("text").alias("latin"))
+    return _scripts(spark, sf_dir).select("id", translit.transliterate("text").alias("latin"))
 
 
 @query(f"SELECT doc_id, {oracle.cyrillic('text')} AS cyrillic FROM documents")
@@ -164,31 +175,24 @@ def cyrillic_round_trip(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", translit.transliterate(translit.latin_to_cyrillic("text")).alias("latin"))
 
 
-@query(f"SELECT id::BIGINT AS id, CASE WHEN {oracle.cyrillic_share('text')} > 0.3 THEN 'cyrillic' ELSE 'latin' END AS script FROM {_SENTENCES}")
+@query(f"SELECT id, CASE WHEN {oracle.cyrillic_share('text')} > 0.3 THEN 'cyrillic' ELSE 'latin' END AS script FROM {_SCRIPTS}")
 def detect_script(spark, sf_dir):
-    return fixtures.sentences(spark).select("id", translit.detect_script("text").alias("script"))
+    return _scripts(spark, sf_dir).select("id", translit.detect_script("text").alias("script"))
 
 
-@query(f"SELECT id::BIGINT AS id, {mixed('text')} AS latin FROM {_SENTENCES}")
+@query(f"SELECT id, {mixed('text')} AS latin FROM {_SCRIPTS}")
 def translit_mixed(spark, sf_dir):
-    return fixtures.sentences(spark).select("id", translit.transliterate_mixed("text").alias("latin"))
+    return _scripts(spark, sf_dir).select("id", translit.transliterate_mixed("text").alias("latin"))
 
 
-@query(f"SELECT id::BIGINT AS id, {maybe('text')} AS latin FROM {_SENTENCES}")
+@query(f"SELECT id, {maybe('text')} AS latin FROM {_SCRIPTS}")
 def translit_maybe(spark, sf_dir):
-    return fixtures.sentences(spark).select("id", translit.maybe_transliterate("text").alias("latin"))
+    return _scripts(spark, sf_dir).select("id", translit.maybe_transliterate("text").alias("latin"))
 
 
-@query(f"SELECT id::BIGINT AS id, {transliterated('text')} AS a, {oracle.cyrillic('text')} AS b, {mixed('text')} AS c FROM {_SENTENCES}")
+@query(f"SELECT id, {transliterated('text')} AS a, {oracle.cyrillic('text')} AS b, {mixed('text')} AS c FROM {_SCRIPTS}")
 def translit_modes(spark, sf_dir):
-    return fixtures.sentences(spark).select("id", *(translit.convert("text", m).alias(n) for m, n in zip(translit.MODES, "abc", strict=True)))
-
-
-@query(f"SELECT id::BIGINT AS id, {transliterated('text')} AS latin, {mixed('text')} AS mixed FROM {_SENTENCES}")
-def sql_functions(spark, sf_dir):
-    register(spark)
-    fixtures.sentences(spark).createOrReplaceTempView("_sozgar_sentences")
-    return spark.sql("SELECT id, uz_transliterate(text) AS latin, uz_transliterate_mixed(text) AS mixed FROM _sozgar_sentences")
+    return _scripts(spark, sf_dir).select("id", *(translit.convert("text", m).alias(n) for m, n in zip(translit.MODES, "abc", strict=True)))
 
 
 # --- tokens --------------------------------------------------------------------------------------
@@ -229,17 +233,25 @@ def blank_words(spark, sf_dir):
 _HTML = "regexp_replace({}, '(?s)<!--.*?-->', ' ', 'g')"
 
 
-def _html_sql(dropped: tuple[str, ...], blocked: list[str], least: int) -> str:
+_NEWS_DROPS = ("script", "style", "nav", "header", "footer", "aside")
+
+
+def _html_text_sql(dropped: tuple[str, ...]) -> str:
     t = _HTML.format("html")
     for tag in dropped:
         t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     for a, b in tokens.ENTITIES:
         t = f"replace({t}, {oracle.text(a)}, {oracle.text(b)})"
+    return t
+
+
+def _html_sql(dropped: tuple[str, ...], blocked: list[str], least: int) -> str:
+    t = _html_text_sql(dropped)
     return f"SELECT word, count(*)::BIGINT AS freq FROM (SELECT lower(unnest(regexp_extract_all({t}, '{oracle.CORPUS}{{3,}}'))) AS word FROM pages) WHERE word NOT IN {oracle.words(blocked)} GROUP BY word HAVING count(*) >= {least}"
 
 
-@query(_html_sql(("script", "style", "nav", "header", "footer", "aside"), tokens.BLOCKED_NEWS, 2))
+@query(_html_sql(_NEWS_DROPS, tokens.BLOCKED_NEWS, 2))
 def html_news_words(spark, sf_dir):
     return dictionary.word_count(read(spark, sf_dir, "pages"), tokens.news_words("html"), 2)
 
@@ -249,28 +261,55 @@ def html_law_words(spark, sf_dir):
     return dictionary.word_count(read(spark, sf_dir, "pages"), tokens.law_words("html"), 2)
 
 
-@query("""SELECT page_id, array_to_string(list_transform(l, lambda x: CASE WHEN x LIKE 'http%' THEN x ELSE 'https://example.org' || x END), ' ') AS links
-FROM (SELECT page_id, list_distinct_in_order AS l FROM (SELECT page_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS list_distinct_in_order FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS r FROM pages)))""")
+_HOST = "https://example.org"
+_RULED = """ || '<a href="/news/2024/' || page_id || '">a</a><a href="/news/2024/category/x">b</a><a href="/uz/docs/-' || page_id || '">c</a><a href="/uz/docs/x">d</a><a href="https://b.uz/uz/docs/7">e</a><a href="/news/2024/' || page_id || '">f</a>'"""
+
+
+def _links_sql(kept: str = "true", html: str = "html") -> str:
+    """(page_id, l): the distinct links of each page, in order."""
+    found = f"""regexp_extract_all({html}, '(?i)<a\\b[^>]*\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)"""
+    return f"SELECT page_id, list_filter(r, lambda x, i: list_position(r, x) = i) AS l FROM (SELECT page_id, list_transform(list_filter({found}, lambda x: {kept}), lambda x: CASE WHEN x LIKE 'http%' THEN x ELSE '{_HOST}' || x END) AS r FROM pages)"
+
+
+def _with_ruled(spark, sf_dir) -> DataFrame:
+    """Every page with links added that the rules for news and laws keep or leave."""
+    ruled = F.expr("html" + _RULED)
+    return read(spark, sf_dir, "pages").select("page_id", ruled.alias("html"))
+
+
+@query(f"SELECT page_id, array_to_string(l, ' ') AS links FROM ({_links_sql()})")
 def html_links(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.array_join(tokens.links("html", "", "https://example.org"), " ").alias("links"))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(tokens.links("html", "", _HOST), " ").alias("links"))
 
 
-@query()
-def html_listing(spark, sf_dir):
-    from sozgar.sources.readers import listing
+@query(f"SELECT page_id, array_to_string(l, ' ') AS links FROM ({_links_sql("regexp_matches(x, '/news/[0-9]{4}/') AND NOT contains(x, '/category/')", 'html' + _RULED)})")
+def news_links(spark, sf_dir):
+    return _with_ruled(spark, sf_dir).select("page_id", F.array_join(tokens.news_links("html", _HOST), " ").alias("links"))
+
 
-    pages = read(spark, sf_dir, "pages").select("page_id", tokens.links("html", "", "https://example.org").alias("links"))
-    return listing(pages, "links", "page_id", 50)
+@query(f"SELECT page_id, array_to_string(l, ' ') AS links FROM ({_links_sql("regexp_matches(x, '/uz/docs/-?[0-9]+')", 'html' + _RULED)})")
+def law_links(spark, sf_dir):
+    return _with_ruled(spark, sf_dir).select("page_id", F.array_join(tokens.law_links("html", _HOST), " ").alias("links"))
+
+
+@query(f"SELECT url FROM (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) AS at_ FROM ({_links_sql()})) GROUP BY url ORDER BY min((page_id, at_)) LIMIT 50")
+def html_listing(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", tokens.links("html", "", _HOST).alias("links"))
+    return readers.listing(pages, "links", "page_id", 50)
 
 
 _MARKED = "'{{x|{{y|{{z}}}}}} ' || coalesce(text, '') || '<ref name=n>http://a.uz/b</ref> [[a|b]] [http://c.uz d] [[File:f.png|thumb|e]] http://e.uz/f' || chr(10) || '== g ==' || chr(10)"
 
 
-def _wiki_sql(source: str) -> str:
+def _wiki_text_sql() -> str:
     out = "text"
     for pattern, by in tokens.WIKI_STEPS:
         out = f"regexp_replace({out}, {oracle.text(pattern)}, {oracle.text(by.replace('$1', chr(92) + '1'))}, 'g')"
-    return f"SELECT id, {out} AS text FROM ({source})"
+    return out
+
+
+def _wiki_sql(source: str) -> str:
+    return f"SELECT id, {_wiki_text_sql()} AS text FROM ({source})"
 
 
 @query(_wiki_sql(f"SELECT id, text FROM {fixtures.values(fixtures.WIKI, 'id, text')} UNION ALL SELECT doc_id + 1000 AS id, {_MARKED} AS text FROM documents"))
@@ -281,57 +320,53 @@ def wiki_strip(spark, sf_dir):
     return fixtures.table(spark, fixtures.WIKI, "id long, text string").unionByName(rows).select("id", tokens.wiki_text("text").alias("text"))
 
 
-# --- word forms ----------------------------------------------------------------------------------
-
-_SUFFIXED = f"(SELECT word || s AS word FROM (SELECT word FROM ({counted('documents', 3)}) ORDER BY freq DESC, word LIMIT 300), (SELECT unnest([{', '.join(map(oracle.text, oracle.SUFFIXES))}]) AS s))"
-
-
-def _suffixed(spark, sf_dir) -> DataFrame:
-    """Frequent words with every suffix put on, so that stripping has something to strip."""
-    words = dictionary.top(entries(spark, sf_dir), 300).select("word")
-    return words.select(F.explode(F.array(*map(F.lit, forms.SUFFIXES))).alias("s"), "word").select(F.concat("word", "s").alias("word"))
+_EDGES = f"'^[{oracle.SPACE}]+|[{oracle.SPACE}]+$', '', 'g'"
+_SANITISED = f"CASE WHEN length(regexp_replace(text, {_EDGES})) >= 3 THEN substr(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), {_EDGES}), 1, 9500) END"
 
 
-@query(f"SELECT DISTINCT word, {stripped('word')} AS stem FROM {_SUFFIXED}")
-def strip_suffix_free(spark, sf_dir):
-    return _suffixed(spark, sf_dir).distinct().select("word", forms.strip_suffix("word").alias("stem"))
+@query(f"SELECT id, {transliterated('text')} AS latin, {oracle.cyrillic('text')} AS cyrillic, {maybe('text')} AS maybe, {mixed('text')} AS mixed, CASE WHEN {oracle.cyrillic_share('text')} > 0.3 THEN 'cyrillic' ELSE 'latin' END AS script, array_to_string(regexp_extract_all(text, '{oracle.WORD}|[^{oracle.W}{oracle.SPACE}]|[{oracle.SPACE}]+'), '{BAR}') AS tokens, array_to_string(regexp_extract_all(text, '{oracle.WORD}'), ' ') AS words, {_wiki_text_sql()} AS plain, {_SANITISED} AS clean FROM {_SCRIPTS}")
+def sql_functions(spark, sf_dir):
+    """The SQL functions of texts."""
+    register(spark)
+    return _scripts(spark, sf_dir).selectExpr(
+        "id", "uz_transliterate(text) AS latin", "uz_latin_to_cyrillic(text) AS cyrillic", "uz_maybe_transliterate(text) AS maybe", "uz_transliterate_mixed(text) AS mixed", "uz_detect_script(text) AS script",
+        f"array_join(uz_tokenize(text), '{BAR}') AS tokens", "array_join(uz_word_tokens(text), ' ') AS words", "uz_wiki_text(text) AS plain", "uz_sanitise(text) AS clean",
+    )
 
 
-@query(f"WITH {DICT}, w AS (SELECT DISTINCT word FROM {_SUFFIXED}) {stems('w', 'word')}")
-def strip_suffix_vocabulary(spark, sf_dir):
-    return dictionary.stems(_suffixed(spark, sf_dir).distinct(), dictionary.normalised(entries(spark, sf_dir)))
+@query(f"SELECT page_id, {_html_text_sql(_NEWS_DROPS)} AS text FROM pages")
+def sql_html_text(spark, sf_dir):
+    register(spark)
+    return read(spark, sf_dir, "pages").selectExpr("page_id", "uz_html_text(html) AS text")
 
 
-_S1, _S2 = stripped("word"), stripped("s1")
+# --- word forms ----------------------------------------------------------------------------------
 
+_SUFFIXED = f"(SELECT DISTINCT word || s AS word FROM ({counted('documents', 3)}), (SELECT unnest([{', '.join(map(oracle.text, ['', *oracle.SUFFIXES]))}]) AS s))"
 
-@query(f"SELECT word, array_to_string(list_filter([CASE WHEN s1 <> word THEN s1 END, CASE WHEN s2 <> s1 THEN s2 END, CASE WHEN s3 <> s2 THEN s3 END], lambda x: x IS NOT NULL), '{BAR}') AS stems FROM (SELECT *, {stripped('s2')} AS s3 FROM (SELECT *, {_S2} AS s2 FROM (SELECT word, {_S1} AS s1 FROM (SELECT DISTINCT word FROM {_SUFFIXED}))))")
-def iterative_strip(spark, sf_dir):
-    return _suffixed(spark, sf_dir).distinct().select("word", joined(forms.iterative_strip("word")).alias("stems"))
 
-
-def _all_suffixed(spark, sf_dir) -> DataFrame:
+def _suffixed(spark, sf_dir) -> DataFrame:
     """Every dictionary word, as it is and with every suffix put on, once each."""
     words = entries(spark, sf_dir).select("word")
     return words.select(F.explode(F.array(*map(F.lit, ["", *forms.SUFFIXES]))).alias("s"), "word").select(F.concat("word", "s").alias("word")).distinct()
 
 
-# The three queries above take the 300 most frequent words, as their SQL does; these three take all and have no SQL.
+@query(f"SELECT word, {stripped('word')} AS stem FROM {_SUFFIXED}")
+def strip_suffix_free(spark, sf_dir):
+    return _suffixed(spark, sf_dir).select("word", forms.strip_suffix("word").alias("stem"))
 
 
-@query()
-def strip_suffix_free_all(spark, sf_dir):
-    return _all_suffixed(spark, sf_dir).select("word", forms.strip_suffix("word").alias("stem"))
+@query(f"WITH {DICT} {stems(_SUFFIXED, 'word')}")
+def strip_suffix_vocabulary(spark, sf_dir):
+    return dictionary.stems(_suffixed(spark, sf_dir), dictionary.normalised(entries(spark, sf_dir)))
 
 
-@query()
-def strip_suffix_vocabulary_all(spark, sf_dir):
-    return dictionary.stems(_all_suffixed(spark, sf_dir), dictionary.normalised(entries(spark, sf_dir)))
+_S1, _S2 = stripped("word"), stripped("s1")
 
 
-@query()
-def iterative_strip_all(spark, sf_dir):
-    return _all_suffixed(spark, sf_dir).select("word", joined(forms.iterative_strip("word")).alias("stems"))
+@query(f"SELECT word, array_to_string(list_filter([CASE WHEN s1 <> word THEN s1 END, CASE WHEN s2 <> s1 THEN s2 END, CASE WHEN s3 <> s2 THEN s3 END], lambda x: x IS NOT NULL), '{BAR}') AS stems FROM (SELECT *, {stripped('s2')} AS s3 FROM (SELECT *, {_S2} AS s2 FROM (SELECT word, {_S1} AS s1 FROM {_SUFFIXED})))")
+def iterative_strip(spark, sf_dir):
+    return _suffixed(spark, sf_dir).select("word", joined(forms.iterative_strip("word")).alias("stems"))
 
 
 _TYPED = f"(SELECT word, regexp_replace(word, '^(.[^aeiou]*)([aeiou])', '\\1\\2\\2') AS doubled, CASE WHEN regexp_matches(word, '[xhiyuobpdt]') THEN regexp_extract(word, '^([^xhiyuobpdt]*)', 1) || translate(substr(word, length(regexp_extract(word, '^([^xhiyuobpdt]*)', 1)) + 1, 1), 'xhiyuobpdt', 'hxyioupbtd') || substr(word, length(regexp_extract(word, '^([^xhiyuobpdt]*)', 1)) + 2) END AS swapped FROM ({counted('documents', 3)}))"
@@ -342,6 +377,13 @@ def typos(spark, sf_dir):
     return entries(spark, sf_dir).select("word", forms.phonetic_typo("word").alias("phonetic"), forms.double_vowel_typo("word").alias("double_char"))
 
 
+@query(f"SELECT word, translate(lower(word), 'ʻʼ', '''''') AS normal, {flag('word')} AS reason, swapped AS phonetic, CASE WHEN doubled <> word THEN doubled END AS double_char FROM {_TYPED}")
+def sql_word_functions(spark, sf_dir):
+    """The SQL functions of words."""
+    register(spark)
+    return entries(spark, sf_dir).selectExpr("word", "uz_normalise(word) AS normal", "uz_flag_reason(word) AS reason", "uz_phonetic_typo(word) AS phonetic", "uz_double_vowel_typo(word) AS double_char")
+
+
 @query(f"WITH pairs AS (SELECT a, b FROM {fixtures.values(fixtures.DISTANCES, 'a, b')} UNION ALL SELECT word, doubled FROM {_TYPED} UNION ALL SELECT word, swapped FROM {_TYPED} WHERE swapped IS NOT NULL) SELECT a, b, {tenths('a', 'b')} / 10.0::DOUBLE AS distance FROM pairs")
 def weighted_distances(spark, sf_dir):
     inline = fixtures.table(spark, fixtures.DISTANCES, "a string, b string")
@@ -459,14 +501,18 @@ _BACK = transliterated(oracle.cyrillic("text"))
 _PIPE = f"WITH {suggested(f'SELECT unnest(regexp_extract_all(c, {oracle.text(oracle.WORD.replace(chr(39) * 2, chr(39)))})) AS word FROM (SELECT {_BACK} AS c FROM benchmark)')}"
 
 
-@query(_PIPE + f",\n{_SPANS.replace(spans('benchmark', 'item_id'), spans(f'(SELECT item_id, {_BACK} AS text FROM benchmark)', 'item_id'))} SELECT x.item_id, original, converted, total_words, errors_found FROM ({_ERRORS}) x JOIN (SELECT item_id, {oracle.cyrillic('text')} AS original, {_BACK} AS converted FROM benchmark) USING (item_id)")
+_PIPE_ERRORS = f"{_PIPE},\n{_SPANS.replace(spans('benchmark', 'item_id'), spans(f'(SELECT item_id, {_BACK} AS text FROM benchmark)', 'item_id'))}"
+_CONVERTED = f"({_ERRORS}) x JOIN (SELECT item_id, {oracle.cyrillic('text')} AS original, {_BACK} AS converted FROM benchmark) USING (item_id)"
+
+
+@query(f"{_PIPE_ERRORS} SELECT x.item_id, original, converted, total_words, errors_found FROM {_CONVERTED}")
 def pipeline_cyrillic(spark, sf_dir):
     rows = read(spark, sf_dir, "benchmark").withColumn("text", translit.latin_to_cyrillic("text"))
     found = checker(spark, sf_dir).pipeline(rows, ["item_id"], script="cyrillic")
     return found.select("item_id", "original", "converted", "spell_check.total_words", "spell_check.errors_found")
 
 
-@query()
+@query(f"{_PIPE_ERRORS} SELECT x.item_id, original, converted, total_words, errors_found, errors FROM {_CONVERTED}")
 def service_check_and_transliterate(spark, sf_dir):
     rows = read(spark, sf_dir, "benchmark").withColumn("text", translit.latin_to_cyrillic("text"))
     found = service.check_and_transliterate(checker(spark, sf_dir), rows, ["item_id"], script="cyrillic")
@@ -497,6 +543,17 @@ def benchmark_cases(spark, sf_dir):
     return _cases(spark, sf_dir)
 
 
+_PAIRS = "(SELECT unnest([swapped, doubled, doubled, word]) AS input, word AS expected FROM " + _TYPED.replace("HAVING count(*) >= 3", "HAVING count(*) >= 1") + ")"
+
+
+@query(f"SELECT DISTINCT input, expected, 'real' AS type FROM {_PAIRS} WHERE input <> expected AND input NOT IN (SELECT word FROM ({counted('documents', 3)})) AND expected IN (SELECT word FROM ({counted('documents', 3)}))")
+def real_cases(spark, sf_dir):
+    """Cases of pairs as a reader collects them: typos of all words, also of such as the dictionary lacks, some twice, some no typos."""
+    words = documents_counted(spark, sf_dir).select("word", forms.phonetic_typo("word").alias("swapped"), F.coalesce(forms.double_vowel_typo("word"), "word").alias("doubled"))
+    pairs = words.select(F.explode(F.array("swapped", "doubled", "doubled", "word")).alias("input"), F.col("word").alias("expected"))
+    return evaluation.real_cases(pairs, entries(spark, sf_dir))
+
+
 _JUDGED = "WITH " + suggested("SELECT input AS word FROM cases").replace(DICT + ",", f"{DICT}, {_CASES},") + ", judged AS (SELECT c.*, suggestions, coalesce(suggestions[1] = expected, false) AS top1, coalesce(list_contains(suggestions, expected), false) AS top3 FROM cases c JOIN answers ON w = input) "
 
 
@@ -602,11 +659,18 @@ def autocorrect(spark, sf_dir):
     return _with_errors(spark, sf_dir).select("item_id", texts.autocorrect("text", F.col("errors")).alias("text"))
 
 
-@query()
+@query(_BENCH.rstrip() + f",\n{_SPANS} SELECT b.item_id, CASE WHEN l IS NULL THEN text ELSE list_reduce(l, lambda t, e: replace(t, e.w, e.s), text) END AS text FROM benchmark b LEFT JOIN (SELECT item_id, list(struct_pack(w := word, s := suggestions[1]) ORDER BY \"start\" DESC) AS l FROM errs WHERE len(suggestions) > 0 GROUP BY item_id) x USING (item_id)")
 def replace_everywhere(spark, sf_dir):
     return _with_errors(spark, sf_dir).select("item_id", texts.replace_everywhere("text", F.col("errors")).alias("text"))
 
 
+@query(_BENCH.rstrip() + f",\n{_SPANS} SELECT e.item_id, \"start\", substr(text, 1, \"start\") || suggestions[1] || substr(text, \"end\" + 1) AS text FROM errs e JOIN benchmark b USING (item_id) WHERE len(suggestions) > 0")
+def apply_one(spark, sf_dir):
+    """Each error's first suggestion put into the text by itself."""
+    rows = _with_errors(spark, sf_dir).select("item_id", "text", F.explode(F.filter("errors", lambda e: F.size(e["suggestions"]) > 0)).alias("e"))
+    return rows.select("item_id", F.col("e.start").alias("start"), texts.apply_one("text", F.col("e"), F.element_at("e.suggestions", 1)).alias("text"))
+
+
 @query(_BENCH.rstrip() + f",\n{_SPANS} SELECT item_id, word, \"start\" FROM errs WHERE \"start\" >= 20")
 def ignored_filter(spark, sf_dir):
     """Errors but for those that a reader has ignored: here all that begin in a text's first twenty characters."""
@@ -644,3 +708,94 @@ def debounce_sessions(spark, sf_dir):
 @query("SELECT user_id AS field, max(ts) AS at, arg_max(event_type, (ts, event_type)) AS text FROM events GROUP BY user_id")
 def latest_state(spark, sf_dir):
     return latest(read(spark, sf_dir, "events").select(F.col("user_id").alias("field"), "ts", F.col("event_type").alias("text")))
+
+
+# --- files, written and read back -----------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    """A place of this application in the shared folder; without one, a temporary folder, which only a single machine may use."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), f"sozgar-{os.getpid()}")
+    return f"{folder.rstrip('/')}/sozgar-files/{spark.sparkContext.applicationId}/{name}"
+
+
+@query(counted("documents", 3))
+def file_dictionary_json(spark, sf_dir):
+    """One JSON object, sorted by frequency, and back."""
+    place = _place(spark, "dictionary.json")
+    writers.export_dictionary(entries(spark, sf_dir), place)
+    return readers.load_dictionary(spark, place + ".missing", place)
+
+
+@query(counted("documents", 3))
+def file_dictionary_table(spark, sf_dir):
+    place = _place(spark, "dictionary.parquet")
+    writers.write_dictionary(entries(spark, sf_dir), place)
+    return readers.load_dictionary(spark, place)
+
+
+@query(f"SELECT word, 2 * freq AS freq FROM ({counted('documents', 3)})")
+def file_overwrite(spark, sf_dir):
+    """A table replaced by a frame that reads it."""
+    place = _place(spark, "overwritten.parquet")
+    writers.write_dictionary(entries(spark, sf_dir), place)
+    writers.overwrite(spark.read.parquet(place).withColumn("freq", 2 * F.col("freq")), place)
+    return readers.load_dictionary(spark, place)
+
+
+@query(f"SELECT DISTINCT word, 1::BIGINT AS freq FROM ({counted('documents', 3)}) WHERE regexp_matches(word, '^[a-z]')")
+def file_word_list(spark, sf_dir):
+    """Words with comments behind them and upper-case letters, and back."""
+    place = _place(spark, "words.txt")
+    lines = entries(spark, sf_dir).where("word RLIKE '^[a-z]'").select(F.explode(F.array(F.concat("word", F.lit(" # c")), F.upper("word"), F.lit("# c"))).alias("value"))
+    lines.write.mode("overwrite").text(place)
+    return readers.read_word_list(spark, place)
+
+
+@query(f"WITH {DICT}, {_CASES} FROM cases")
+def file_cases(spark, sf_dir):
+    place = _place(spark, "cases.json")
+    writers.write_cases(_cases(spark, sf_dir), place)
+    return spark.read.schema("input string, expected string, type string").json(place)
+
+
+@query(f"SELECT word AS input, doubled AS expected, '?' AS type FROM {_TYPED}")
+def file_typos(spark, sf_dir):
+    """Typos as CSV with blanks around the values and no category, and back."""
+    place = _place(spark, "typos.csv")
+    words = entries(spark, sf_dir).select("word", F.coalesce(forms.double_vowel_typo("word"), "word").alias("doubled"))
+    rows = words.select(F.concat(F.lit(" "), "word").alias("typo"), F.concat("doubled", F.lit(" ")).alias("correct"), F.lit(None).cast("string").alias("category"))
+    rows.write.mode("overwrite").csv(place, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_typos(spark, place)
+
+
+@query(counted("documents"))
+def file_batches(spark, sf_dir):
+    """All texts in files of a thousand, read as a folder and counted."""
+    place = _place(spark, "batches")
+    writers.write_batches(read(spark, sf_dir, "documents").where("text IS NOT NULL"), place)
+    return dictionary.word_count(readers.read_folder(spark, place), tokens.corpus_words(F.lower("text")))
+
+
+@query(f"SELECT value FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM conversations) WHERE trim(value, ' ') <> '' AND NOT starts_with(value, '#')")
+def file_messages(spark, sf_dir):
+    """Messages by line among comments and blank lines."""
+    place = _place(spark, "messages.txt")
+    rows = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.explode(F.array("text", F.lit("# c"), F.lit(" "))).alias("value"))
+    rows.write.mode("overwrite").text(place)
+    return readers.read_messages(spark, place)
+
+
+@query("SELECT doc_id::VARCHAR AS title, length(regexp_replace(text, '\\s+', '', 'g'))::INTEGER AS n FROM documents WHERE regexp_matches(text, '\\S')")
+def file_articles(spark, sf_dir):
+    """A dump of articles, among pages of another name space, in bz2, and back."""
+    place = _place(spark, "dump.xml")
+    texts_of = read(spark, sf_dir, "documents").where("text RLIKE '[^ \t\n\r]'")
+    pages = texts_of.select(F.explode(F.array(F.lit(0), F.lit(None).cast("int"), F.lit(1))).alias("ns"), "doc_id", "text").where("ns IS NOT NULL")
+    rows = pages.select(F.concat("doc_id", F.when(F.col("ns") == 1, ":talk").otherwise("")).alias("title"), "ns", F.struct("text").alias("revision"))
+    rows.write.format("xml").mode("overwrite").option("rowTag", "page").option("rootTag", "dump").option("compression", "bzip2").save(place)
+    return readers.read_articles(spark, place).select("title", F.length(F.regexp_replace("text", r"\s+", "")).alias("n"))

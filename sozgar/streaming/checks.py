@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from sozgar.operators.spelling import SpellChecker
 
 DEBOUNCE_PAGE, DEBOUNCE_DOCUMENT = "600 milliseconds", "900 milliseconds"
+POLL_EVERY, POLL_SECONDS = "300 milliseconds", 15.0
 
 
 def debounced(edits: DataFrame, field: str = "field", ts: str = "ts", text: str = "text", gap: str = DEBOUNCE_PAGE, late: str | None = None) -> DataFrame:
@@ -46,3 +49,30 @@ def check_batches(messages: DataFrame, checker: SpellChecker, sink: Callable[[Da
 def counted_words(lines: DataFrame, words) -> DataFrame:
     """(word, freq) of a stream of lines; run it in complete or update mode."""
     return lines.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def poll(rows: DataFrame, sink: Callable[[DataFrame, int], None], every: str = POLL_EVERY, give_up: float = POLL_SECONDS) -> bool:
+    """Looks at a stream ``every`` so often until rows come and hands that first batch to ``sink(rows, batch_id)``.
+
+    Returns whether rows came within ``give_up`` seconds. A batch that has come in time is finished, however long it takes; later
+    batches are left alone. What fails in the stream or in ``sink`` is raised.
+    """
+    came, done = threading.Event(), threading.Event()
+
+    def handle(batch: DataFrame, number: int) -> None:
+        if not came.is_set() and not batch.isEmpty():
+            came.set()
+            sink(batch, number)
+            done.set()
+
+    until = time.monotonic() + give_up
+    running = rows.writeStream.foreachBatch(handle).trigger(processingTime=every).start()
+    try:
+        while running.isActive and not done.wait(0.05):
+            if not came.is_set() and time.monotonic() > until:
+                break
+        if failure := running.exception():
+            raise failure
+        return done.is_set()
+    finally:
+        running.stop()

@@ -4,6 +4,8 @@ import bz2
 import json
 import lzma
 import os
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from sozgar.functions import tokens
 from sozgar.operators import dictionary, evaluation, service
 from sozgar.operators.spelling import SpellChecker, similar, similar_by_length
 from sozgar.sources import readers, writers
-from sozgar.streaming.checks import check_batches, counted_words, debounced, latest
+from sozgar.sources.readers import fetch
+from sozgar.streaming.checks import check_batches, counted_words, debounced, latest, poll
 
 ENTRIES = [("kitob", 12793), ("kitoblar", 900), ("maktab", 12000), ("yil", 483000), ("bilan", 90000), ("bu", 80000), ("juda", 70000), ("yaxshi", 60000), ("xona", 5000), ("yiil", 3), ("hato", 2), ("xato", 700), ("oʻrdak", 60), ("o'rdak", 50), ("ish", 400), ("ishchi", 300)]
 
@@ -197,3 +200,44 @@ def test_streams(spark, entries, tmp_path):
         assert {r.word for r in spark.table("counted").collect()} == {"bu", "kitoob", "juda", "yaxshi"}
     finally:
         q.stop()
+
+
+def test_poll(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    lines = spark.readStream.text(str(folder))
+    seen = []
+    keep = lambda batch, number: seen.extend(r.value for r in batch.collect())
+    assert not poll(lines, keep, "100 milliseconds", 1.0)
+    assert seen == []
+    (folder / "a.txt").write_text("salom\ndunyo\n")
+    assert poll(lines, keep, "100 milliseconds", 60.0)
+    assert sorted(seen) == ["dunyo", "salom"]
+
+    def broken(batch, number):
+        raise ValueError("sink broke")
+
+    with pytest.raises(Exception, match="sink broke"):
+        poll(lines, broken, "100 milliseconds", 60.0)
+
+
+def test_fetch(spark):
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            found = self.path == "/a"
+            self.send_response(200 if found else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write("<p>oʻrik</p>".encode() if found else b"")
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = f"http://127.0.0.1:{server.server_port}"
+        got = {r.url: r.html for r in fetch(spark, [f"{host}/a", f"{host}/b"]).collect()}
+    finally:
+        server.shutdown()
+    assert got == {f"{host}/a": "<p>oʻrik</p>", f"{host}/b": None}
