@@ -69,18 +69,25 @@ def similar_by_count(left: DataFrame, right: DataFrame, a: str, b: str, most: in
 class SpellChecker:
     """Checks against a dictionary (word, freq). ``join``: 'deletions' (any amount of words), 'lengths' (few), or 'auto', which counts them.
 
-    With ``persist`` the dictionary is kept until ``close``, or the end of a ``with`` block.
+    With ``persist`` the dictionary and the kinds of the words looked up are kept until ``close``, or the end of a ``with`` block.
     """
 
     def __init__(self, entries: DataFrame, join: str = "deletions", persist: bool = False):
         self.dictionary = normalised(entries).where(F.length("word") > 0)
+        self._kept: list[DataFrame] | None = [] if persist else None
         if persist:
             self.dictionary = self.dictionary.persist()
         self._similar = {"deletions": similar, "lengths": similar_by_length, "auto": similar_by_count}[join]
 
     def close(self) -> None:
-        """Gives the kept dictionary back; frames made before read their sources again."""
+        """Gives back what is kept; frames made before read their sources again."""
         self.dictionary.unpersist()
+        self.forget()
+
+    def forget(self) -> None:
+        """Gives back the kinds of words looked up so far, but not the dictionary."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
     def __enter__(self) -> SpellChecker:
         return self
@@ -134,6 +141,9 @@ class SpellChecker:
             raise ValueError("top_n must be between 1 and 10")
         given = words.select(column).where(F.col(column).isNotNull()).distinct().withColumn("w", normal(column))
         kinds = self.match_kinds(given.where("w <> ''").select("w").distinct())
+        if self._kept is not None:  # one row a distinct word, read by both ways to candidates and by the answers
+            kinds = kinds.persist()
+            self._kept.append(kinds)
         unknown = kinds.where("match_kind = ''").select("w")
         best = self.ranked(unknown, top_n).groupBy("w").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate"))).alias("best"))
         answers = kinds.join(best.select("w", F.col("best.candidate").alias("found")), "w", "left")
@@ -156,7 +166,9 @@ class SpellChecker:
     def errors(self, texts: DataFrame, keys: list[str], text: str = "text", top_n: int = 3) -> DataFrame:
         """(keys, word, start, end, suggestions): every occurrence of a word that is not correct."""
         spans = texts.select(*keys, F.explode(word_spans(text)).alias("span")).select(*keys, "span.word", "span.start", "span.end")
-        answers = self.suggest(spans, "word", top_n).where("match_kind = ''").drop("match_kind")
+        # The tokens are the words of the spans, without the cost of their places.
+        words = texts.select(F.explode(word_tokens(text)).alias("word"))
+        answers = self.suggest(words, "word", top_n).where("match_kind = ''").drop("match_kind")
         return spans.join(answers, "word").select(*keys, "word", "start", "end", "suggestions")
 
     def check(self, texts: DataFrame, keys: list[str], text: str = "text", top_n: int = 3, spans: bool = False) -> DataFrame:
@@ -181,11 +193,16 @@ class SpellChecker:
     def _one(self, value: str, name: str) -> DataFrame:
         return self.spark.createDataFrame([(0, value)], f"id int, {name} string")
 
+    def _first(self, frame: DataFrame):
+        row = frame.first()
+        self.forget()
+        return row
+
     def suggest_word(self, word: str, top_n: int = 3) -> list[str]:
-        return self.suggest(self._one(word, "word"), "word", top_n).first()["suggestions"]
+        return self._first(self.suggest(self._one(word, "word"), "word", top_n))["suggestions"]
 
     def correct_word(self, word: str) -> str:
-        return self.correct(self._one(word, "word")).first()["correction"]
+        return self._first(self.correct(self._one(word, "word")))["correction"]
 
     def check_text(self, text: str) -> dict:
-        return self.check(self._one(text, "text"), ["id"]).drop("id").first().asDict(recursive=True)
+        return self._first(self.check(self._one(text, "text"), ["id"]).drop("id")).asDict(recursive=True)

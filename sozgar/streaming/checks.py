@@ -42,6 +42,7 @@ def check_batches(messages: DataFrame, checker: SpellChecker, sink: Callable[[Da
             sink(checker.check(batch, keys, text, top_n, spans=True), number)
         finally:
             batch.unpersist()
+            checker.forget()
 
     return messages.writeStream.foreachBatch(handle)
 
