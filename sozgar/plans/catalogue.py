@@ -6,9 +6,11 @@ The dictionary of the checking queries is counted from ``documents`` (words seen
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -713,13 +715,20 @@ def latest_state(spark, sf_dir):
 # --- files, written and read back -----------------------------------------------------------------
 
 
+@cache
+def _temporary() -> str:
+    folder = tempfile.mkdtemp(prefix="sozgar-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def _place(spark: SparkSession, name: str) -> str:
     """A place of this application in the shared folder; without one, a temporary folder, which only a single machine may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        folder = os.path.join(tempfile.gettempdir(), f"sozgar-{os.getpid()}")
+        folder = _temporary()
     return f"{folder.rstrip('/')}/sozgar-files/{spark.sparkContext.applicationId}/{name}"
 
 
