@@ -182,6 +182,15 @@ class SpellChecker:
         joined = total.join(listed, keys, "left")
         return joined.select(*keys, "total_words", F.when(F.col("_errors").isNull(), 0).otherwise(F.size("_errors")).alias("errors_found"), F.coalesce(shaped, empty).alias("errors"))
 
+    def summary(self, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+        """(keys, total_words, errors_found) of each key: what ``check`` counts, without the suggestions, so only the kinds of words are looked up."""
+        found = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
+        words = texts.select(*keys, F.explode(word_tokens(text)).alias("word")).select(*keys, normal("word").alias("w"))
+        unknown = self.match_kinds(words.select("w").distinct()).where("match_kind = ''").select("w")
+        wrong = words.join(unknown, "w").groupBy(*keys).agg(F.count(F.lit(1)).alias("wrong"))
+        counts = texts.select(*keys, F.size(found).alias("words"), F.lit(0).cast("long").alias("wrong")).unionByName(wrong.select(*keys, F.lit(0).alias("words"), "wrong"))
+        return counts.groupBy(*keys).agg(F.sum("words").cast("int").alias("total_words"), F.sum("wrong").cast("int").alias("errors_found"))
+
     def pipeline(self, texts: DataFrame, keys: list[str], text: str = "text", script: str = "latin", spans: bool = False) -> DataFrame:
         """(keys, original, converted, spell_check): Cyrillic texts are converted first; any other script means Latin."""
         converted = texts.select(*keys, F.col(text).alias("original"), (transliterate(text) if script == "cyrillic" else F.col(text)).alias("converted"))
